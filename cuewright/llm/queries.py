@@ -5,17 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuewright.llm.common import read_table
+from cuewright.llm import language_id, toxicity
+from cuewright.llm.common import holdout_bucket, read_table
 from cuewright.llm.near_dedup import near_duplicates
+from cuewright.llm.sentencepiece_codec import encode_decode
+from cuewright.llm.token_files import WordBpe, token_files
+
+END_ID = 2
+TOXIC_SCORE = 0.3
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _held_out():
+    return F.coalesce(holdout_bucket(F.col("doc_id")) == 2, F.lit(False))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read_table(spark, sf_dir, "documents"), WordBpe(tokenizer_path("word_bpe_49k.json")), END_ID)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
+    "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL for the queries that SQL can express at a bearable cost.
