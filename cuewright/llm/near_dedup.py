@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, checkpointed, mix64, seed, text_buffer, written
@@ -278,3 +278,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the one with the smallest id.
+
+    Rows that repeat an id keep one of them; rows without an id keep one for each text. A group of
+    which no row has an id keeps a row for each text. Empty texts are never duplicates.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept")).distinct()
+    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    text = F.when(F.col(id_col).isNull(), F.md5(F.col(text_col)))
+    first = F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.xxhash64(text_col)))
+    return rows.withColumn("__place", first).where("__place = 1").drop("__place")

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` that the caller kept under ``id_col`` and the ``score``."""
+    """``id_col`` and ``score`` of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +173,13 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def score_column(model: ToxicityModel):
-    """The score as a vectorised function of a text column, to filter documents in place."""
-    from pyspark.sql.functions import pandas_udf
+def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float) -> DataFrame:
+    """The rows of ``docs`` (with a column ``text``) that score below ``limit``, all columns kept."""
 
-    @pandas_udf("double")
-    def toxicity_score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for texts in parts:
-            column = pa.array(texts, pa.large_string(), from_pandas=True)
-            batch = pa.RecordBatch.from_arrays([column], ["t"])
-            yield pd.Series(np.concatenate([model.score(*text_buffer(b.column(0)), table) for b in byte_slices([batch], "t")] or [np.zeros(0)]))
+        for batch in byte_slices(batches, "text"):
+            found = model.score(*text_buffer(batch.column(batch.schema.get_field_index("text"))), table)
+            yield batch.filter(pa.array(found < limit))
 
-    return toxicity_score
+    return docs.mapInArrow(run, docs.schema)
