@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, holdout_bucket, mix64, text_buffer
+from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, holdout_bucket, mix64, text_buffer, written
 from cuewright.llm.near_dedup import shingle_sets
 
 PLACES = 1 << 18
@@ -84,38 +84,24 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, penalty: float = 2.0, steps: int = 400) -> ToxicityModel:
-    """Fit on documents given as arrays of distinct places, with a weight each."""
-    labels, share = labels.astype(bool), float(np.average(labels, weights=weights)) if len(labels) else 0.0
-    prior = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-4) / (1 - share + 1e-4))))
-    if labels.all() or not labels.any():
-        return prior
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    place = np.concatenate(features).astype(np.int64)
-    toxic = np.bincount(place, labels[row] * weights[row], minlength=PLACES)
-    other = np.bincount(place, ~labels[row] * weights[row], minlength=PLACES)
-    n, p = weights.sum(), (weights * labels).sum()
-    seen = toxic + other
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (toxic * n - seen * p) ** 2 / (p * (n - p) * seen * (n - seen))
-    ratio = np.log((toxic + 1) / (p + 1)) - np.log((other + 1) / (n - p + 1))
-    kept = np.flatnonzero((np.nan_to_num(chi, nan=0, posinf=0) > LEAST_CHI) & (toxic >= 2))
-    if not len(kept):
-        return prior
-    index = np.full(PLACES, -1)
-    index[kept] = np.arange(len(kept))
-    use = index[place] >= 0
-    row, column = row[use], index[place[use]]
-    value = ratio[kept][column]
-    w, b, m, v = np.zeros(len(kept)), prior.bias, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+def fit(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, places: np.ndarray, ratio: np.ndarray, penalty: float = 2.0, steps: int = 400) -> ToxicityModel:
+    """Logistic regression on documents given as arrays of indexes into ``places``, whose values are ``ratio``."""
+    share = float(np.average(labels, weights=weights)) if len(labels) else 0.0
+    bias = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
+    if not len(places):
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), bias)
+    row = np.repeat(np.arange(len(features)), [len(c) for c in features])
+    column, n = np.concatenate(features), weights.sum()
+    value = ratio[column]
+    w, b, m, v = np.zeros(len(places)), bias, np.zeros(len(places) + 1), np.zeros(len(places) + 1)
     for step in range(1, steps + 1):  # Adam on the whole sample
         z = b + np.bincount(row, value * w[column], minlength=len(labels))
         gap = weights * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels)
-        g = np.r_[np.bincount(column, value * gap[row], minlength=len(kept)) + penalty * w, gap.sum()] / n
+        g = np.r_[np.bincount(column, value * gap[row], minlength=len(places)) + penalty * w, gap.sum()] / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return ToxicityModel(kept, w * ratio[kept], float(b))
+    return ToxicityModel(places, w * ratio, float(b))
 
 
 def _keys(data: np.ndarray, offsets: np.ndarray, codes: WordCodes) -> np.ndarray:
@@ -135,7 +121,7 @@ def _drawn(labelled: DataFrame, most: dict[int, int]) -> tuple[DataFrame, dict[i
     return labelled.where(draw < limit), share
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_other: int = 5000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000, most_other: int = 3000) -> ToxicityModel:
     """Fit on labelled rows that are not held out, ``most_toxic`` and ``most_other`` of them about."""
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     labelled = labelled.where(holdout_bucket(F.col("id")) != 2).groupBy("id").agg(F.max("label").alias("label"))
@@ -148,16 +134,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             row, place = _hits(data, offsets, None)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             found = [place[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keys(data, offsets, codes)), pa.array(found, pa.binary())], ["label", "text", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keys(data, offsets, codes)), pa.array(found, pa.binary())], ["label", "copy", "places"])
 
     # The sample of ids is bounded by its two parameters, so it is safe to broadcast.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "id").select("label", "t")
-    rows = sorted(texts.mapInArrow(run, "label int, text bigint, places binary").collect(), key=lambda r: (r.text, r.label))
-    copies: dict[int, int] = {}
-    for r in rows:
-        copies[r.text] = copies.get(r.text, 0) + 1
-    weights = np.array([1 / share[r.label] / copies[r.text] for r in rows])
-    return fit([np.frombuffer(r.places, "<i4") for r in rows], np.array([r.label for r in rows]), weights)
+    rows = written(texts.mapInArrow(run, "label int, copy bigint, places binary"), "labelled")
+    drawn_share = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    copies = rows.groupBy("copy").agg(F.count("*").alias("copies"))
+    rows = rows.join(copies, "copy").select("label", (1 / (drawn_share * F.col("copies"))).alias("weight"), "places")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, PLACES))
+        for batch in batches:
+            for label, weight, places in zip(*batch.columns):
+                sums[label.as_py(), np.frombuffer(places.as_buffer(), "<i4")] += weight.as_py()  # a document's places are distinct
+        seen = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[0, seen]), pa.array(sums[1, seen])], ["place", "other", "toxic"])
+
+    n, p = rows.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum(F.col("weight") * F.col("label")), F.lit(0.0))).first()
+    kept: list = []
+    if 0 < p < n:
+        sums = rows.mapInArrow(counted, "place bigint, other double, toxic double").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+        seen = F.col("other") + F.col("toxic")
+        chi = n * F.pow(F.col("toxic") * n - seen * p, 2) / (p * (n - p) * seen * F.greatest(n - seen, F.lit(1e-9)))
+        ratio = F.log((F.col("toxic") + 1) / (p + 1)) - F.log((F.col("other") + 1) / (n - p + 1))
+        # Few places pass the corrected level; PLACES bounds them in any case.
+        kept = sorted(sums.where((chi > LEAST_CHI) & (F.col("toxic") >= 2)).select("place", F.round(ratio, 9).alias("ratio")).collect())
+    chosen = np.array([k.place for k in kept], np.int64)
+    index = ToxicityModel(chosen, np.zeros(len(chosen)), 0.0).table()
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [index[np.frombuffer(x.as_buffer(), "<i4")] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].astype("<i4").tobytes() for x in own], pa.binary())], ["label", "weight", "own"])
+
+    found = sorted(rows.mapInArrow(reduced, "label int, weight double, own binary").collect(), key=lambda r: (r.own, r.label, r.weight))
+    labels_of, weights = np.array([r.label for r in found], float), np.array([r.weight for r in found], float)
+    return fit([np.frombuffer(r.own, "<i4") for r in found], labels_of, weights, chosen, np.array([k.ratio for k in kept], float))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
