@@ -75,18 +75,21 @@ def flagged_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         while at >= 0:
             places.append(at)
             at = raw.find(word, at + 1)
-    token = TOKEN_BYTES[data]
-    for inside, digits in ((token, True), (((data >= 97) & (data <= 102)) | DIGIT_BYTES[data], False), (((data >= 65) & (data <= 90)) | DIGIT_BYTES[data], False)):
-        edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        long = end - start >= 16
-        start, end = start[long], end[long]
+    cut = np.zeros(len(data) + 1, bool)  # runs end with their text
+    cut[offsets] = True
+    sums = np.r_[0, np.cumsum(DIGIT_BYTES[data])]
+    lower_hex = ((data >= 97) & (data <= 102)) | DIGIT_BYTES[data]
+    capitals = ((data >= 65) & (data <= 90)) | DIGIT_BYTES[data]
+    for inside, digits in ((TOKEN_BYTES[data], True), (lower_hex, False), (capitals, False)):
+        before, behind = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+        start = np.flatnonzero(inside & (~before | cut[:-1]))
+        end = np.flatnonzero(inside & (~behind | cut[1:])) + 1
+        keep = end - start >= 16
         if digits:
-            sums = np.r_[0, np.cumsum(DIGIT_BYTES[data])]
-            start = start[sums[end] > sums[start]]
-        places += start.tolist()
-        # A run may go on over the end of a text: look at the next one too.
-        places += np.minimum(end, len(data) - 1).tolist() if len(data) else []
+            keep &= sums[end] > sums[start]
+        places += start[keep].tolist()
+    if not len(data):
+        return np.zeros(0, np.int64)
     return np.unique(np.searchsorted(offsets, np.array(places, np.int64), "right") - 1)
 
 
@@ -285,20 +288,30 @@ def redact(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, recall: float = 0.95) -> DataFrame:
-    """``docs`` with the secrets in ``text`` masked; all rows and columns stay, null texts stay null."""
+def redacted(docs: DataFrame, recall: float = 0.95, length_col: str | None = None) -> DataFrame:
+    """``docs`` with the secrets in ``text`` masked; all rows and columns stay, null texts stay null.
+    ``length_col`` (a long) is brought up to date where a text changes."""
     net = trained(recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
             at = batch.schema.get_field_index("text")
-            flagged = flagged_rows(*text_buffer(batch.column(at))).tolist()
-            if flagged:
+            new = {}
+            for r in flagged_rows(*text_buffer(batch.column(at))).tolist():
+                if text := batch.column(at)[r].as_py():
+                    if spans := all_spans(text, net):
+                        new[r] = redact(text, spans)
+            if new:
                 texts = batch.column(at).to_pylist()
-                for r in flagged:
-                    if texts[r]:
-                        texts[r] = redact(texts[r], all_spans(texts[r], net))
+                for r, text in new.items():
+                    texts[r] = text
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                if length_col:
+                    place = batch.schema.get_field_index(length_col)
+                    sizes = batch.column(place).to_pylist()
+                    for r, text in new.items():
+                        sizes[r] = len(text)
+                    batch = batch.set_column(place, batch.schema.field(place), pa.array(sizes, batch.schema.field(place).type))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)
