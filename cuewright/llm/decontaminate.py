@@ -106,14 +106,14 @@ class Items:
         n, count = self.size[item], len(windows)
         keys = np.zeros((count, walks, SAMPLINGS), np.uint64)
         if not count or not windows.shape[1]:
-            return keys.reshape(count, -1)
+            return keys.reshape(count, walks * SAMPLINGS)
         rows = np.arange(count)
         for walk in range(walks):
             # For each size, walk and sampling: which of the 3n places are sampled.
             at = np.zeros(count, np.int64)
             pick = mix64(np.arange(SAMPLINGS * self.bits, dtype=np.uint64) + seed(walk, 0x1D8E4E27C47D124F)).reshape(SAMPLINGS, self.bits)
-            wanted = (pick[None] % (3 * n.astype(np.uint64))[:, None, None]).astype(np.int64)
-            copied = np.zeros((count, 3 * int(n.max())), np.uint64)
+            wanted = (pick[None] % (3 * np.maximum(n, 1).astype(np.uint64))[:, None, None]).astype(np.int64)
+            copied = np.zeros((count, 3 * max(1, int(n.max()))), np.uint64)
             for step in range(copied.shape[1]):
                 inside = at < n
                 symbol = np.where(inside, windows[rows, np.minimum(at, windows.shape[1] - 1)], np.uint64(pad))
@@ -123,7 +123,7 @@ class Items:
             for b in range(self.bits):
                 place = wanted[:, :, b]
                 keys[:, walk] += mix64(copied[rows[:, None], place] + seed(b, 0x589965CC75374CC3) + place.astype(np.uint64))
-        return keys.reshape(count, -1)
+        return keys.reshape(count, walks * SAMPLINGS)
 
     def _needed(self) -> int:
         """Walks with which ``recall`` of items with the most edits allowed share a key."""
