@@ -98,7 +98,7 @@ def cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.01, delta: f
     strata = features.select("stratum").distinct().count()
     grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, g in RULES.items() for c in g))
     tested = per.select("stratum", "n", F.explode(grid).alias("g"))
-    passes = binomial_tail(F.col("g.k"), F.col("n"), risk) <= delta / (strata * len(RULES))
+    passes = binomial_tail(F.col("g.k"), F.col("n"), risk) <= delta / (max(1, strata) * len(RULES))
     tested = tested.select("stratum", "g.rule", "g.cutoff", passes.alias("ok"))
     failed = tested.groupBy("stratum", "rule").agg(F.max(F.when(~F.col("ok"), F.col("cutoff"))).alias("failed"), F.sort_array(F.collect_list("cutoff")).alias("grid"))
     least = F.array_min(F.filter("grid", lambda c: F.col("failed").isNull() | (c > F.col("failed"))))
