@@ -8,7 +8,6 @@ with null or empty texts pass every filter; the last stage gives them no tokens.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cuewright.llm import secrets, toxicity
 from cuewright.llm.common import read_table, written
@@ -35,9 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked and ``n_chars`` brought up to date."""
-    masked = secrets.redacted(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    """All documents, their secrets masked, and ``n_chars`` brought up to date where a text changed."""
+    return secrets.redacted(docs, length_col="n_chars")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
