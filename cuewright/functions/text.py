@@ -90,7 +90,7 @@ def is_unpunctuated(c: Column) -> Column:
 def spoken_text(c: Column) -> Column:
     """What a listener hears of a cue: no bracketed notes, lyric lines, speaker labels or dashes."""
     bare = F.regexp_replace(c, r"\[[^\]]*\]|\([^)]*\)", " ")
-    lines = F.transform(F.split(bare, "\n"), F.trim)
+    lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(x))
     lines = F.filter(lines, lambda x: ~x.rlike("[♪♫#]"))
     dash, label = r"^[-–—]+\s*", r"^[A-Z][A-Z0-9 .'\-]{1,30}:\s*"
     cut = lambda x, pattern: F.regexp_replace(x, pattern, "")

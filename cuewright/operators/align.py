@@ -101,8 +101,9 @@ def align_segments(emissions: DataFrame, words: DataFrame, blank: int = 0, star:
         })
 
     kinds = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in ("film", "seg", "idx"))
-    left = emissions.select("film", "seg", "frame", "logp").groupBy("film", "seg")
-    right = words.select("film", "seg", "idx", "tokens").groupBy("film", "seg")
+    # Aliases give both sides columns of their own where they come from one table.
+    left = emissions.select(*(F.col(c).alias(c) for c in ("film", "seg", "frame", "logp"))).groupBy("film", "seg")
+    right = words.select(*(F.col(c).alias(c) for c in ("film", "seg", "idx", "tokens"))).groupBy("film", "seg")
     return left.cogroup(right).applyInPandas(run, f"{kinds}, first bigint, last bigint, score double, reason string")
 
 

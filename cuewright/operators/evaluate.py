@@ -41,7 +41,8 @@ def alignment(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], *op) for op in ops], columns=["film", "tag", "i1", "i2", "j1", "j2"])
 
     kind = reference.schema["film"].dataType.simpleString()
-    sides = [d.select("film", "tok_idx", "word").groupBy("film") for d in (reference, hypothesis)]
+    # Aliases give both sides columns of their own where they come from one table.
+    sides = [d.select(F.col("film").alias("film"), F.col("tok_idx").alias("tok_idx"), F.col("word").alias("word")).groupBy("film") for d in (reference, hypothesis)]
     return sides[0].cogroup(sides[1]).applyInPandas(run, f"film {kind}, tag string, i1 bigint, i2 bigint, j1 bigint, j2 bigint")
 
 

@@ -42,7 +42,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(film, cue_idx, start_ms, end_ms, text): a cue per line; some are shortened, overlapped or repeated."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = turns(spark, sf_dir).select("film", "seg", F.posexplode(lines).alias("pos", "text"))
     rows = rows.withColumns({"dur": 400 + 55 * F.length("text"), "gap": _gap("pos")})
     spec = Window.partitionBy("film").orderBy("seg", "pos")

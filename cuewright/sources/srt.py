@@ -35,7 +35,7 @@ def parse_srt(files: DataFrame, strip_tags: bool = True) -> DataFrame:
     text = F.array_join(F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n")
     if strip_tags:
         text = F.regexp_replace(text, r"<[^>]+>|\{\\[^}]*\}", "")
-    text = F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    text = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     sides = F.split(clock, "-->")
     cues = found.select("film", "block", parse_ms(F.get(sides, F.lit(0))).alias("start_ms"), parse_ms(F.get(sides, F.lit(1))).alias("end_ms"), text.alias("text")).where("text <> ''")
     from cuewright.operators.sequence import order
