@@ -14,7 +14,9 @@ from cuewright.functions.sound import alignment_word, metaphone
 from cuewright.operators import align, audio, context, correct, cues, evaluate, ledger, quality, sequence, shots, speech
 from cuewright.plans import views as V
 from cuewright.plans.views import with_views
+from cuewright.session import shared_path
 from cuewright.sources import listing, srt
+from cuewright.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,3 +596,37 @@ def media_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT path, CASE WHEN regexp_matches(path, '/[^/]*[^/ ][^/]* \(\d{4}\)[^/]*$') THEN CAST(1990 + min(page_id % 30) AS INTEGER) END AS year FROM files GROUP BY path", "files")
 def path_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.parse_paths(V.files(spark, sf_dir).select("path").distinct()).select("path", "year")
+
+
+@query("SELECT user_id AS film, count(*) AS n FROM events WHERE value >= 1 GROUP BY user_id")
+def names_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users less the small ones, by an anti-join on the event."""
+    events = V.table(spark, sf_dir, "events")
+    small = events.where("value < 1").select("event_id")
+    return events.join(small, "event_id", "left_anti").groupBy(F.col("user_id").alias("film")).agg(F.count("*").alias("n"))
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+    """Everything that a stream over files gives, through a Parquet sink in the shared folder."""
+    out = shared_path(spark, label)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, label + "-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query()
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions closed by the watermark; those still open at the end of the data are not given."""
+    V.table(spark, sf_dir, "events")
+    return _drained(jobs.sessions(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), spark, "sessions")
+
+
+@query("SELECT user_id AS path, bool_or(event_type = 'error') AS forced FROM events GROUP BY user_id")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs queued once, and once more when forced."""
+    V.table(spark, sf_dir, "events")
+    events = jobs.event_stream(spark, f"{sf_dir}/events.parquet")
+    queued = _drained(jobs.forced_queue(events.select(F.col("user_id").cast("string").alias("path"), (F.col("event_type") == "error").alias("force"))), spark, "queue")
+    return queued.groupBy(F.col("path").cast("bigint").alias("path")).agg(F.bool_or("force").alias("forced"))

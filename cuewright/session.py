@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,3 +28,12 @@ def ship_package(spark: SparkSession) -> None:
         for file in sorted(top.rglob("*.py")):
             out.write(file, file.relative_to(top.parent))
     context.addPyFile(path)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir`` (a temporary one where it is unset), removed when the driver ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuewright-shared-")
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

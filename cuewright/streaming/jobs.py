@@ -16,7 +16,12 @@ from cuewright.functions.timecode import in_window, minute_of_day
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table as a stream; its times get a zone so that a watermark can follow them."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        path, name = path.rsplit("/", 1)  # a stream watches a folder
+        reader = reader.option("pathGlobFilter", name)
+    rows = reader.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
