@@ -2,7 +2,8 @@
 
 Where no token spans a space, a text's ids are its pieces' ids in order. Distinct pieces are few
 against all pieces, so each is encoded once per worker and looked up afterwards. The memory is
-bounded: the table starts anew once it holds ``most`` pieces.
+bounded: a table of ``most`` pieces takes up no more (pieces it lacks are encoded and forgotten), and
+starts anew where it lacks more than half of what a slice of texts holds.
 """
 
 from __future__ import annotations
@@ -49,10 +50,13 @@ class MemoEncoder:
         lists = self.cut(texts.fill_null(""))
         pieces = lists.flatten().dictionary_encode()
         own = pieces.dictionary.to_pylist()
-        if len(self.slots) + len(own) > self.most:
+        fresh = [p for p in own if p not in self.slots]
+        full = len(self.slots) + len(fresh) > self.most
+        if full and 2 * len(fresh) > len(own):
             self._reset()
-        slots = self.slots
-        if fresh := [p for p in own if p not in slots]:
+            fresh, full = own, len(own) > self.most
+        slots, used = self.slots, self.used
+        if fresh:
             self._learn(fresh)
         slot = np.fromiter((slots[p] for p in own), np.int64, len(own))
         start, count = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
@@ -61,6 +65,10 @@ class MemoEncoder:
         ends = np.zeros(len(at) + 1, np.int64)
         np.cumsum(counts, out=ends[1:])
         ids = self.ids[np.repeat(start[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        if full:
+            for p in fresh:
+                del slots[p]
+            self.used = used
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         rows = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=rows[1:])

@@ -29,6 +29,8 @@ from cuewright.llm.common import byte_slices
 from cuewright.llm.memo_encode import MemoEncoder
 
 MARK = "▁"
+#: Pieces that a worker remembers, and bytes of text that it encodes at a time.
+MOST_PIECES, SLICE = 200_000, 4 << 20
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Model types of the trainer spec (fixed values).
@@ -171,7 +173,7 @@ class PieceCodec:
             with open(self.path, "rb") as file:
                 model = PieceModel.parse(file.read())
             tokenizer = model.tokenizer()
-            memo = MemoEncoder(self._words, self._encoder(tokenizer.model)) if model.splits_at_spaces() else None
+            memo = MemoEncoder(self._words, self._encoder(tokenizer.model), MOST_PIECES) if model.splits_at_spaces() else None
             _SHARED[self.path] = model, tokenizer, memo, pa.array(model.surfaces(), pa.large_binary())
         return _SHARED[self.path]
 
@@ -255,7 +257,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "t", 8 << 20):
+        for batch in byte_slices(batches, "t", SLICE):
             texts = batch.column(1).fill_null("")
             ids, ends = codec.encode(texts)
             view, at = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
