@@ -43,6 +43,7 @@ HEADER = struct.Struct("<QQQQQq4Q4Q")
 SAMPLE = 256
 BLOCK_IDS = 2 << 20
 FILE_BYTES = 24 << 20
+FILES_A_GROUP = 256
 
 
 class EliasFano:
@@ -275,9 +276,13 @@ def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     found = written(files.mapInArrow(digest, "doc_id bigint, part bigint, block bigint, local bigint, n_tokens bigint, ids_crc32 bigint"), "digest")
-    sums = found.groupBy("part", "block").agg(F.sum("n_tokens").alias("s"))  # a row per block
-    before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("part", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    # Prefix sums in two steps, over groups of files and within a group, so that no task sees every block.
+    group = F.floor(F.col("part") / FILES_A_GROUP).alias("group")
+    sums = found.groupBy("part", "block").agg(F.sum("n_tokens").alias("s")).select("*", group)  # a row per block
+    behind = lambda w: F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("group").agg(F.sum("s").alias("s")).select("group", behind(Window.orderBy("group")).alias("before"))
+    base = sums.select("group", "part", "block", behind(Window.partitionBy("group").orderBy("part", "block")).alias("within"))
+    base = base.join(groups, "group").select("part", "block", (F.col("before") + F.col("within")).alias("base"))
     return found.join(base, ["part", "block"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
