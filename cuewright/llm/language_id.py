@@ -30,6 +30,7 @@ from cuewright.llm.common import byte_slices, holdout_bucket, text_buffer
 PLACES = 4096
 ROWS = 256
 UNKNOWN = "und"
+MOST_BROADCAST = 10_000
 
 
 def _counts(texts: pa.Array) -> np.ndarray:
@@ -116,7 +117,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     size = known.agg(F.count("*").alias("k")).first().k
     limit = F.least(F.lit(1.0), F.lit(most / max(size, 1)) / F.col("count"))
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < 1).join(known.select("l", limit.alias("limit")), "l").where(draw < F.col("limit")).select("l", "t") if size else rows.select("l", "t")
+    limits = known.select("l", limit.alias("limit"))
+    # One row per language: sent to the texts where they are checked to be few, joined by shuffling otherwise.
+    limits = F.broadcast(limits) if size <= MOST_BROADCAST else limits
+    sample = rows.join(limits, "l").where(draw < F.col("limit")).select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
