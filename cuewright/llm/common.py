@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cuewright.session import ship_package
 
 #: Bytes of text that one numpy step works on; a longer text is one slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,6 +30,8 @@ from cuewright.llm.near_dedup import shingle_sets
 
 PLACES = 1 << 18
 ORDERS = (3, 4, 5)
+#: Bytes of text at a time while all n-grams are kept apart.
+TRAIN_SLICE = 256 << 10
 #: Chi-square with one degree of freedom at 0.01 / PLACES.
 LEAST_CHI = 29.4
 
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(ascii_space())
-        for batch in byte_slices(batches, "t"):
+        for batch in byte_slices(batches, "t", TRAIN_SLICE):
             data, offsets = text_buffer(batch.column(1))
             row, place = _hits(data, offsets, None)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -139,9 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample of ids is bounded by its two parameters, so it is safe to broadcast.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "id").select("label", "t")
     rows = written(texts.mapInArrow(run, "label int, copy bigint, places binary"), "labelled")
-    drawn_share = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
     copies = rows.groupBy("copy").agg(F.count("*").alias("copies"))
-    rows = rows.join(copies, "copy").select("label", (1 / (drawn_share * F.col("copies"))).alias("weight"), "places")
+    rows = rows.join(copies, "copy").select("label", (1 / F.col("copies")).alias("weight"), "places")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, PLACES))
@@ -169,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].astype("<i4").tobytes() for x in own], pa.binary())], ["label", "weight", "own"])
 
     found = sorted(rows.mapInArrow(reduced, "label int, weight double, own binary").collect(), key=lambda r: (r.own, r.label, r.weight))
-    labels_of, weights = np.array([r.label for r in found], float), np.array([r.weight for r in found], float)
+    # Significance is judged on the sample itself; only the regression restores the classes' true shares.
+    labels_of, weights = np.array([r.label for r in found], float), np.array([r.weight / share[r.label] for r in found], float)
     return fit([np.frombuffer(r.own, "<i4") for r in found], labels_of, weights, chosen, np.array([k.ratio for k in kept], float))
 
 
