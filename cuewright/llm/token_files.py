@@ -42,8 +42,10 @@ MAGIC = b"CWTOKEF1"
 HEADER = struct.Struct("<QQQQQq4Q4Q")
 SAMPLE = 256
 BLOCK_IDS = 2 << 20
-FILE_BYTES = 24 << 20
-FILES_A_GROUP = 256
+#: Text of an id range, and how many ranges at most; larger ranges make more files, not larger ones.
+PART_BYTES, MOST_PARTS = 24 << 20, 20_000
+FILE_BLOCKS = 4
+PARTS_A_GROUP = 256
 
 
 class EliasFano:
@@ -200,18 +202,16 @@ def write_token_files(docs: DataFrame, path: str, encoder: Encoder, end_id: int,
     """Encode every text, append ``end_id`` and write the files at ``path`` in ascending id order.
 
     Texts are encoded where they are read and only ids are shuffled. Range bounds come from a
-    quantile summary of the ids, a constant number of values for each file.
+    quantile summary of the ids, at most ``MOST_PARTS`` values.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     total, = docs.agg(F.sum(F.octet_length("t"))).first()
-    files = max(1, -(-(total or 0) // FILE_BYTES))
+    parts = max(1, min(MOST_PARTS, -(-(total or 0) // PART_BYTES)))
     bounds: list[int] = []
-    if files > 1:
-        at = [i / files for i in range(1, files)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("id", at, max(10_000, 20 * files))).first()[0] or []))
-    part = F.lit(0)
-    if bounds:  # the number of bounds at or below the id, by bisection in one expression
-        part = F.coalesce(_bisect(F.col("id"), bounds), F.lit(0))
+    if parts > 1:
+        at = [i / parts for i in range(1, parts)]
+        bounds = sorted(set(docs.agg(F.percentile_approx("id", at, max(10_000, 20 * parts))).first()[0] or []))
+    edges = np.array(bounds, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "t", 8 << 20):
@@ -225,7 +225,9 @@ def write_token_files(docs: DataFrame, path: str, encoder: Encoder, end_id: int,
             data = whole.astype("<u2" if small else "<u4").tobytes()
             scale = 2 if small else 4
             column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((ends_with * scale).astype(np.int64)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, scale, np.int32)), column.cast(pa.binary())], ["id", "width", "ids"])
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            part = np.where(known, np.searchsorted(edges, batch.column(0).fill_null(0).to_numpy(), "right"), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, scale, np.int32)), column.cast(pa.binary()), pa.array(part.astype(np.int32))], ["id", "width", "ids", "part"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[int | None, np.ndarray]] = []
@@ -247,17 +249,10 @@ def write_token_files(docs: DataFrame, path: str, encoder: Encoder, end_id: int,
         if waiting:
             yield flush()
 
-    encoded = docs.mapInArrow(encode, "id bigint, width int, ids binary").withColumn("part", part)
+    encoded = docs.mapInArrow(encode, "id bigint, width int, ids binary, part int")
     placed = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     blocks = placed.mapInArrow(pack, "data binary")
-    blocks.select(F.col("data").cast("string").alias("value")).write.text(path, lineSep="\n")
-
-
-def _bisect(value, bounds: list[int], base: int = 0):
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(value >= bounds[mid], _bisect(value, bounds[mid + 1 :], base + mid + 1)).otherwise(_bisect(value, bounds[:mid], base))
+    blocks.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path, lineSep="\n")
 
 
 def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -276,8 +271,8 @@ def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     found = written(files.mapInArrow(digest, "doc_id bigint, part bigint, block bigint, local bigint, n_tokens bigint, ids_crc32 bigint"), "digest")
-    # Prefix sums in two steps, over groups of files and within a group, so that no task sees every block.
-    group = F.floor(F.col("part") / FILES_A_GROUP).alias("group")
+    # Prefix sums in two steps, over groups of id ranges and within a group, so that no task sees every block.
+    group = F.floor(F.col("part") / PARTS_A_GROUP).alias("group")
     sums = found.groupBy("part", "block").agg(F.sum("n_tokens").alias("s")).select("*", group)  # a row per block
     behind = lambda w: F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = sums.groupBy("group").agg(F.sum("s").alias("s")).select("group", behind(Window.orderBy("group")).alias("before"))

@@ -60,9 +60,9 @@ def check_digest(docs, rows):
 def test_files_hold_all_documents_in_order(spark, small, monkeypatch):
     from cuewright.llm import token_files as module
 
-    monkeypatch.setattr(module, "FILE_BYTES", 60_000)
-    monkeypatch.setattr(module, "FILES_A_GROUP", 3)
-    monkeypatch.setattr(module, "BLOCK_IDS", 4000)
+    monkeypatch.setattr(module, "PART_BYTES", 60_000)
+    monkeypatch.setattr(module, "PARTS_A_GROUP", 3)
+    monkeypatch.setattr(module, "BLOCK_IDS", 400)
     docs = spark.read.parquet(f"{small}/documents.parquet").repartition(5)
     found, expected = check_digest(docs, token_files(docs, WordBpe(WORD), 2).collect())
     assert found == expected
