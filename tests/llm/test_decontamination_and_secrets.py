@@ -155,6 +155,27 @@ def test_network_on_unseen_findings():
     assert hit[labels == 1].mean() >= 0.93 and hit[labels == 0].mean() <= 0.02
 
 
+def test_long_candidates_are_scored_to_their_end():
+    net, rng = S.trained(), np.random.default_rng(5)
+    pick = lambda k: "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i] for i in rng.integers(62, size=k))
+    slug = lambda j: j.join(S._PROSE[i] for i in rng.integers(len(S._PROSE), size=15))
+    found = {"behind": 0, "between": 0, "short": 0, "harmless": 0}
+    for _ in range(100):
+        runs = {"behind": slug("/") + "/" + pick(40), "between": slug("-") + "/" + pick(40) + "/" + slug("-"), "short": slug("/") + "/" + pick(24), "harmless": slug("-") + "-2024/" + slug("/")}
+        for name, run in runs.items():
+            found[name] += S.all_spans(f"see {run} now", net) == [(4, 4 + len(run), "cnn")]
+    assert found["behind"] >= 95 and found["between"] >= 90 and found["short"] >= 85 and found["harmless"] <= 2, found
+    head = "backups/projects/reports/customers/exports/"
+    text = f"at {head}{pick(40)} ok"
+    assert len(head) > S.INSIDE and S.redact(text, S.all_spans(text, net)) == "at [SECRET] ok"
+
+
+@pytest.mark.parametrize("n", [16, 40, 41, 45, 79, 80, 1000])
+def test_windows_cover_a_candidate(n):
+    parts = list(S.windows((7, 7 + n, "cnn")))
+    assert {i for a, b, _ in parts for i in range(a, b)} == set(range(7, 7 + n)) and all(b - a <= S.INSIDE for a, b, _ in parts)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = S.CharCnn.start(rng)
