@@ -1,7 +1,8 @@
 """Secret scans: pattern spans, and a character convolutional network over every candidate.
 
 Three base patterns (``BASE``) give spans that always stay. Other candidates are runs of token
-characters, 16 or more with a digit and a letter, that overlap no base span. Every candidate, base or
+characters, 16 or more with a digit and a letter; of a run that base spans overlap, each stretch of
+16 or more characters that they leave. Every candidate, base or
 not, is scored by a small convolutional network in numpy over its characters and those around it; one
 longer than ``INSIDE`` characters is scored in overlapping windows over its whole length, of that
 size and of half of it, and has the largest of their scores. A candidate outside the base becomes a
@@ -41,6 +42,7 @@ BASE = (
 )
 KINDS = [b[0] for b in BASE] + ["cnn"]
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 TOKEN_BYTES = np.isin(np.arange(256), np.frombuffer((string.ascii_letters + string.digits + "+/_=-").encode(), np.uint8))
 DIGIT_BYTES = np.isin(np.arange(256), np.frombuffer(string.digits.encode(), np.uint8))
@@ -64,8 +66,12 @@ def other_candidates(text: str, base: list[Span]) -> list[Span]:
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-            found.append((m.start(), m.end(), "cnn"))
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            at = m.start()
+            for a, b, _ in [*(s for s in base if s[0] < m.end() and m.start() < s[1]), (m.end(), m.end(), "")]:
+                if a - at >= LEAST:
+                    found.append((at, a, "cnn"))
+                at = max(at, b)
     return found
 
 
