@@ -283,11 +283,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the one with the smallest id.
 
-    Rows that repeat an id keep one of them; rows without an id keep one for each text. A group of
-    which no row has an id keeps a row for each text. Empty texts are never duplicates.
+    Of rows of a group that share this id, one stays; rows that share an id in different groups are
+    judged apart. A group of which no row has an id keeps a row for each text. Rows without words
+    are never duplicates: all stay. A row is named by a 64-bit hash of its id and text.
     """
-    found = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    text = F.when(F.col(id_col).isNull(), F.md5(F.col(text_col)))
-    first = F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.xxhash64(text_col)))
-    return rows.withColumn("__place", first).where("__place = 1").drop("__place")
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+    # Ids come before none; the key makes the smallest one a single row of its group, or copies of it.
+    named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
+    judged = near_duplicates(named, "row", "text", percent).where("n_shingles > 0 and (kept or component_id.none)")
+    kept = judged.select(F.col("row.key").alias("__key")).distinct()
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumn("__key", key).join(kept, "__key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return rows.withColumn("__place", first).where("__place = 1").select(docs.columns).union(docs.where(~worded))

@@ -105,3 +105,22 @@ def test_one_row_of_each_group_stays(spark, odd_docs):
     rows = deduplicated(odd_docs).collect()
     assert rows[0].asDict().keys() == set(odd_docs.columns) and [sum(r.doc_id == d for r in rows) for d in (-9, 1, 2)] == [1, 0, 0]
     assert {3, 4, 5, 6, 7, 8, -9} <= {r.doc_id for r in rows}
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcdefgh"}
+    near = texts["c"].replace("c59", "other")
+
+    def kept(rows):
+        return sorted(((r.doc_id, r.text) for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+    for a, b in ("ab", "ba", "de", "ed", "fg", "gf"):
+        a, b = texts[a], texts[b]
+        assert kept([(5, a), (5, b), (3, b)]) == [(3, b), (5, a)]
+    c, d, e = (texts[x] for x in "cde")
+    assert kept([(5, c), (5, d), (5, c)]) == sorted([(5, c), (5, d)])
+    assert len(kept([(5, c), (5, near)])) == 1
+    # One null id that stays does not bring back the others; empty texts all stay.
+    empty = [(None, ""), (None, ""), (None, None), (7, " \t"), (7, " \t")]
+    found = kept([*empty, (None, d), (2, d), (None, e), (None, e), (None, c), (None, near)])
+    assert found == sorted([*empty, (2, d), (None, e), (None, c), (None, near)], key=str)
