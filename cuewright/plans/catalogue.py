@@ -373,7 +373,8 @@ def wordcount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def num_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).where("n < 1000000").select("n", F.array_join(T.number_words(F.col("n")), " ").alias("words"))
+    words = F.when(F.col("n").between(0, 999_999), F.array_join(T.number_words(F.col("n")), " ")).otherwise(F.col("n").cast("string"))
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).select("n", words.alias("words"))
 
 
 @query()

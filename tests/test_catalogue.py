@@ -48,3 +48,10 @@ def test_entry_points_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "qa_score" in e.queries()
+
+
+def test_num_words_keeps_every_order(spark, tmp_path):
+    keys = [1, 999_999, 1_000_000, 1_500_000, 6_000_000_000, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r.n: r.words for r in catalogue.QUERIES["num_words"](spark, str(tmp_path)).collect()}
+    assert found == {1: "one", 999_999: "nine hundred ninety nine thousand nine hundred ninety nine", 1_000_000: "1000000", 1_500_000: "1500000", 6_000_000_000: "6000000000", None: None}
