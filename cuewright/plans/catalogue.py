@@ -267,13 +267,13 @@ def flag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def correction_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correct.plan_windows(correct.flag_words(V.words(spark, sf_dir), below=0.02))
+    return correct.plan_windows(correct.flag_words(V.words(spark, sf_dir)))
 
 
 @query()
 def correction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = V.words(spark, sf_dir)
-    return correct.requests(correct.plan_windows(correct.flag_words(words, below=0.02)), words, "proofreader")
+    return correct.requests(correct.plan_windows(correct.flag_words(words)), words, "proofreader")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

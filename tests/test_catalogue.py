@@ -55,3 +55,11 @@ def test_num_words_keeps_every_order(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = {r.n: r.words for r in catalogue.QUERIES["num_words"](spark, str(tmp_path)).collect()}
     assert found == {1: "one", 999_999: "nine hundred ninety nine thousand nine hundred ninety nine", 1_000_000: "1000000", 1_500_000: "1500000", 6_000_000_000: "6000000000", None: None}
+
+
+def test_every_doubtful_word_is_in_a_window(spark, small):
+    doubtful = {(r.film, r.idx) for r in catalogue.QUERIES["flag_words"](spark, small).where("flagged").collect()}
+    windows = catalogue.QUERIES["correction_windows"](spark, small).collect()
+    assert doubtful and {(w.film, i) for w in windows for i in w.flags} == doubtful
+    asked = {(r.film, r.window) for r in catalogue.QUERIES["correction_requests"](spark, small).collect()}
+    assert asked == {(w.film, w.window) for w in windows}
