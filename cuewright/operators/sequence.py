@@ -100,13 +100,12 @@ def local_offsets(anchors: DataFrame, neighbours: int = R.LOCAL_NEIGHBOURS) -> D
     """``local``: each anchor's d less the median d of the ``neighbours`` anchors on either side of it
     in time, other than those equal to it. Films with fewer than three anchors give no rows."""
     spec = order("t", "d")
-    # The first anchor with this time is the middle of the window, wherever equal times follow.
+    # The first anchor with this time is the middle of the window, wherever equal times follow: all of a run take its list.
     ranked = anchors.withColumn("rn", F.row_number().over(spec) - 1).withColumn("n", F.count("*").over(Window.partitionBy("film")))
     ranked = ranked.withColumn("mid", F.min("rn").over(Window.partitionBy("film", "t")))
-    near = F.collect_list(F.struct("rn", "t", "d")).over(spec.rowsBetween(-2 * neighbours - 1, 2 * neighbours + 1))
-    # Equal times move the middle back; a range join covers runs of equal times longer than the frame.
-    listed = ranked.withColumn("near", near)
-    others = F.filter("near", lambda a: a.rn.between(F.col("mid") - neighbours, F.col("mid") + neighbours) & ~((a.t == F.col("t")) & (a.d == F.col("d"))))
+    near = F.collect_list(F.struct("t", "d")).over(spec.rowsBetween(-neighbours, neighbours))
+    listed = ranked.withColumn("near", F.when(F.col("rn") == F.col("mid"), near)).withColumn("near", F.max("near").over(Window.partitionBy("film", "t")))
+    others = F.filter("near", lambda a: ~((a.t == F.col("t")) & (a.d == F.col("d"))))
     values = F.sort_array(F.transform(others, lambda a: a.d))
     size = F.size("values")
     middle = (F.get("values", F.floor((size - 1) / 2).cast("int")) + F.get("values", F.floor(size / 2).cast("int"))) / 2

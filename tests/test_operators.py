@@ -326,3 +326,17 @@ def test_streams(spark, tmp_path):
     done = jobs.run_jobs(stream, lambda d: d.withColumn("status", F.lit("done")), str(tmp_path / "ledger"), str(tmp_path / "cp2"))
     done.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == len(rows) and jobs.progress(done)["rows"] == len(rows)
+
+
+def test_local_offsets_within_long_runs_of_equal_times(spark):
+    import statistics
+
+    rows = [(0, float(t), float(t * 7 % 11)) for t in range(40)] + [(0, 40.0, 100.0 + i * 37 % 150) for i in range(120)] + [(0, 41.0 + t, float(t)) for t in range(40)]
+    ranked = sorted((t, d) for _, t, d in rows)
+    expected = []
+    for t, d in ranked:
+        mid = next(i for i, r in enumerate(ranked) if r[0] == t)
+        others = [x[1] for x in ranked[max(0, mid - 25) : mid + 26] if x != (t, d)]
+        expected.append((0, t, d, d - statistics.median(others)))
+    found = sequence.local_offsets(spark.createDataFrame(rows, "film int, t double, d double").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
