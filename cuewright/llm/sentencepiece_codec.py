@@ -3,8 +3,8 @@
 The model file is read with a small protobuf reader. From it are rebuilt the normaliser (character
 map, white-space rules, dummy prefix), the metaspace marker, the unigram scores or the BPE merges
 (two pieces merge if their concatenation is a piece; better scores first) and byte fallback.
-Texts are encoded in batches on the library's threads, or, where no piece has a space marker inside,
-piece by piece with a memory of what was seen (``MemoEncoder``).
+Texts are encoded in batches, or, where no piece has a space marker inside, piece by piece with a
+memory of what was seen (``MemoEncoder``). The library's threads are off unless ``threads`` is set.
 
 Defined results: null text is empty and has no ids. Characters outside the vocabulary become byte
 pieces, or the unknown id in a model without them. Special tokens are never added. Other columns of
