@@ -14,7 +14,7 @@ from cuewright.functions.sound import alignment_word, metaphone
 from cuewright.operators import align, audio, context, correct, cues, evaluate, ledger, quality, sequence, shots, speech
 from cuewright.plans import views as V
 from cuewright.plans.views import with_views
-from cuewright.session import shared_path
+from cuewright.session import remove_at_exit, shared_path
 from cuewright.sources import listing, srt
 from cuewright.streaming import jobs
 
@@ -612,8 +612,10 @@ def names_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Everything that a stream over files gives, through a Parquet sink in the shared folder."""
-    out = shared_path(spark, label)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, label + "-state")).trigger(availableNow=True).start().awaitTermination()
+    out, state = shared_path(spark, label), shared_path(spark, label + "-state")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    for path in (out, state):
+        remove_at_exit(spark, path)
     return spark.read.schema(stream.schema).parquet(out)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -28,12 +31,39 @@ def ship_package(spark: SparkSession) -> None:
         for file in sorted(top.rglob("*.py")):
             out.write(file, file.relative_to(top.parent))
     context.addPyFile(path)
+    atexit.register(os.unlink, path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, since
+    executors could not read each other's files there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="cuewright-shared-")
+        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+    return "file://" + _LOCAL[context.applicationId]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir`` (a temporary one where it is unset), removed when the driver ends."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuewright-shared-")
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    """A fresh path in the shared folder; see ``remove_at_exit``."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path, which must exist by now, when the driver's JVM ends."""
+    files, at = hadoop_path(spark, path)
+    files.deleteOnExit(at)
