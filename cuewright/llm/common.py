@@ -2,57 +2,86 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.session import ship_package
+from cuewright.session import hadoop_path, remove_at_exit, shared_path, ship_package
 
 #: Bytes of text that one numpy step works on; a longer text is one slice of its own.
 SLICE_BYTES = 1 << 20
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_llm_scratch", None)
-        if folder is None:
-            folder = spark._llm_scratch = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, a finished query's shuffle files go at once, not when the driver collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back (cuts lineage).
 
+    The table stays until ``discard`` or, where a lazy result reads it, until the driver ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    remove_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        files, at = hadoop_path(table.sparkSession, table._scratch)
+        files.delete(at, True)
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (cuts lineage)."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+#: Bits of a mark table and of one of its rows (Spark's bitmap functions), and its size: 64 MB at most.
+BITMAP_BITS, LEAST_BITS, MOST_BITS = 32768, 1 << 20, 1 << 29
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+
+def spare_names(taken: list[str], n: int) -> list[str]:
+    """``n`` column names that are not taken."""
+    low = {c.lower() for c in taken}
+    return [x for x in (f"__own_{i}" for i in range(len(taken) + n)) if x not in low][:n]
+
+
+def perhaps_in(df: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false where the hash ``key`` is surely none of ``wanted`` (one bigint column).
+
+    Without a shuffle of ``df``: the wanted keys set bits of a table of 16 bits a key, of 64 MB at most,
+    which is broadcast. Beyond 33 million keys more rows pass by chance; callers join those that pass.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    group, at, found = spare_names([*df.columns, name], 3)
+    place = F.pmod(wanted[0], F.lit(bits))
+    marked = wanted.select(F.floor(place / BITMAP_BITS).alias(group), (place % BITMAP_BITS).alias("p"))
+    marks = F.broadcast(marked.groupBy(group).agg(F.bitmap_construct_agg("p").alias(found)))
+    place = F.pmod(key, F.lit(bits))
+    rows = df.withColumns({group: F.floor(place / BITMAP_BITS), at: (place % BITMAP_BITS).cast("int")}).join(marks, group, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({found}, 1 + ({at} div 8), 1)")), 16, 10).cast("int")
+    return rows.withColumn(name, F.coalesce(F.getbit(byte, F.col(at) % 8) == 1, F.lit(False))).drop(group, at, found)
 
 
 def holdout_bucket(doc_id: Column) -> Column:

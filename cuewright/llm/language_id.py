@@ -120,7 +120,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     limits = known.select("l", limit.alias("limit"))
     # One row per language: sent to the texts where they are checked to be few, joined by shuffling otherwise.
     limits = F.broadcast(limits) if size <= MOST_BROADCAST else limits
-    sample = rows.join(limits, "l").where(draw < F.col("limit")).select("l", "t")
+    # One row an id (the least text), so the bound on drawn ids bounds what is collected.
+    sample = rows.join(limits, "l").where(draw < F.col("limit")).groupBy("id", "l").agg(F.min("t").alias("t")).select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):

@@ -34,12 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, checkpointed, mix64, seed, text_buffer, written
+from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, discard, mix64, perhaps_in, seed, spare_names, text_buffer, written
 
 SMALL_BUCKET = 32
-FILTER_BITS = 1 << 23
-BITMAP_BITS = 32768
-CLASS_RATIO = 1.02
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
@@ -132,26 +129,12 @@ def _signatures(docs: DataFrame, k: int, size: int, rows: int) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, n, items) for each node of ``wanted`` (node, min_id), from another scan of the texts.
 
-    Which rows to look at is sent to the executors as a bitmap of hashed ids of at most 1 MB,
-    whatever the input's size; a join then makes it exact.
+    Only rows whose hashed id may be wanted are cut into shingles; a join on nodes makes it exact.
     """
-    spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    marked = wanted.select(place(F.col("min_id")).alias("p")).select(F.floor(F.col("p") / BITMAP_BITS).alias("g"), (F.col("p") % BITMAP_BITS).alias("p"))
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    for g, bits in marked.groupBy("g").agg(F.bitmap_construct_agg("p").alias("bits")).collect():  # 256 rows of 4 KB at most
-        bitmap[g * BITMAP_BITS // 8 : (g + 1) * BITMAP_BITS // 8] = np.frombuffer(bits, np.uint8)
-    sent = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, marks = WordCodes(ascii_space()), sent.value
-
-        def looked_at() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = batch.column(1).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array((marks[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
-
-        for batch in byte_slices(looked_at(), "t"):
+        codes = WordCodes(ascii_space())
+        for batch in byte_slices(batches, "t"):
             row, shingle = shingle_sets(*text_buffer(batch.column(0)), k, codes)
             count, node = _set_keys(row, shingle, batch.num_rows)
             ends = np.zeros(batch.num_rows + 1, np.int32)
@@ -159,7 +142,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             items = pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(count), items], ["node", "n", "items"])
 
-    found = docs.select("t", place(F.col("id")).alias("p")).mapInArrow(run, "node bigint, n bigint, items array<bigint>")
+    ids = wanted.select(F.xxhash64("min_id").alias("key"))
+    rows = perhaps_in(docs, F.xxhash64("id"), ids, "wanted").where("wanted").select("t")
+    found = rows.mapInArrow(run, "node bigint, n bigint, items array<bigint>")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -174,32 +159,36 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> D
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "min_id"), "node")
-    sets = written(_sets_of(docs, checkpointed(wanted), k), "sets")
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets, as a written table."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "min_id"), "node"), "wanted")
+    sets = written(_sets_of(docs, wanted, k), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"items_{x}"))
     both = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", both.alias("both"))
-    return joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    links = written(joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+    discard(wanted, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of undirected edges (a, b); root is the component's smallest node.
+    """(node, root) for the nodes of undirected edges (a, b), as a written table; root is the component's smallest node.
 
     Smallest labels spread along edges and by pointer jumping, so the number of rounds grows with the
     logarithm of a component's diameter. Only minima per node are aggregated: a hub with many links
     is summed up before the shuffle.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.col("node").alias("old"), F.least("node", "m").alias("root"))
+    labels = written(first, "labels")
     while True:
         told = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("told"))
-        near = labels.join(told, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "told").alias("root"))
+        near = labels.select("node", "root").join(told, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "told").alias("root"))
         up = labels.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        new = near.join(up, near.root == up.up, "left").select("node", "old", F.least("root", "above").alias("root"))
-        new = checkpointed(new)
-        labels = new.select("node", "root")
+        new = written(near.join(up, near.root == up.up, "left").select("node", "old", F.least("root", "above").alias("root")), "labels")
+        discard(labels)
+        labels = new
         if new.where("old <> root").isEmpty():
+            discard(both)
             return labels
 
 
@@ -214,66 +203,87 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     With shingles ordered by frequency among the members, two sets of sizes s <= n with enough in
     common have their first common shingle early in both: at position i of n only if
-    s <= (n - i) * (1 + t) / t - n. The larger set asks for the size classes this allows, the smaller
-    one answers for its own class.
+    s <= (n - i) * (1 + t) / t - n. The larger set asks for the size classes this allows (a class is
+    a ratio of 1 / t, so two at most), the smaller one answers for its own. The result is a written table.
+
+    The last join reads two tables that end in nothing but its own exchange, so a shingle that many
+    members share is split over tasks by the engine's skew handling.
     """
-    t, step = percent / 100, math.log(CLASS_RATIO)
+    t = percent / 100
     items = sets.join(members, "node").select("node", "root", "n", F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("f"))
     ranked = items.join(often, "item").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
     least = F.col("n") - F.ceil(F.col("n") * t - 1e-6) + 1
     spread = ranked.select("node", "root", "n", F.posexplode(F.slice("s", F.lit(1), least.cast("int"))).alias("i", "s")).where("s.f > 1")
     limit = (F.col("n") - F.col("i")) * ((1 + t) / t) - F.col("n") + 1e-6
-    spread = spread.select("node", "root", "n", F.col("s.item").alias("item"), limit.alias("top"))
-    klass = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / step)
-    size = F.col("n").cast("double")
-    answers = spread.where("top >= n").select("item", klass(size).alias("class"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    asks = spread.select("item", F.explode(F.sequence(klass(size * t - 1e-6), klass(F.least(size, "top")))).alias("class"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    spread = written(spread.select("node", "root", F.col("n").cast("double").alias("n"), F.col("s.item").alias("item"), limit.alias("top")), "spread")
+    klass = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / -math.log(t))
+    answers = spread.where("top >= n").select("item", klass(F.col("n")).alias("class"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    asks = spread.select("item", F.explode(F.sequence(klass(F.col("n") * t - 1e-6), klass(F.least("n", "top")))).alias("class"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "top")
     everyone = answers.select("item", "class", F.col("ra").alias("r")).union(asks.select("item", "class", F.col("rb").alias("r")))
-    mixed = everyone.groupBy("item", "class").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("item", "class")
-    found = answers.join(mixed, ["item", "class"], "left_semi").join(asks, ["item", "class"]).where("ra <> rb and na <= nb")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = written(everyone.groupBy("item", "class").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("item", "class"), "mixed")
+    answers = written(answers.join(mixed, ["item", "class"], "left_semi"), "answers")
+    found = answers.join(asks, ["item", "class"]).where(f"ra <> rb and na <= nb and na <= top and na >= {t} * nb - 1e-6")
+    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    discard(spread, mixed, answers)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5, size: int = 252, rows: int | None = None) -> DataFrame:
-    """``id_col``, n_shingles, component_id, kept: one row per document; links need a Jaccard similarity of ``percent`` in 100."""
+    """``id_col``, n_shingles, component_id, kept: one row per document; links need a Jaccard similarity of ``percent`` in 100.
+
+    Each step's table is removed when its last reader is done; the two that the result reads stay.
+    """
     rows = rows or (7 if percent >= 85 else 6)
     if size > 256 or size % rows:
         raise ValueError("size is a multiple of rows and 256 at most")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     signed = written(_signatures(docs, k, size, rows), "signatures")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("min_id"), *(F.min(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
-    nodes = written(nodes, "nodes")
-    # A set's copies have the same bands: take them from the rows with the smallest id, then once a node.
-    placed = signed.where("n > 0").select("node", F.explode("bands").alias("key")).distinct()
-    crowd = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    placed = written(placed.join(crowd, "key"), "buckets")
+    # A set's copies have the same bands: one node stands for them.
+    nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("min_id"), *(F.min(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "bands")))
+    banded = written(nodes, "nodes")
+    nodes = banded.drop("bands")
+    spread = banded.select("node", F.explode("bands").alias("key"))
+    crowd = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    placed = written(spread.join(crowd, "key"), "buckets")
 
     score = placed.groupBy("node").agg(F.sum(F.col("c") - 1).alias("score"))
     hubs = placed.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     star = placed.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    star = checkpointed(_plausible(star, nodes, size, percent / 100))
-    links = checkpointed(_confirmed(docs, star, nodes, k, percent))
+    star = written(_plausible(star, nodes, size, percent / 100), "star")
+    links = _confirmed(docs, star, nodes, k, percent)
     roots = components(links)
 
     rooted = placed.join(roots, "node", "left").select("key", "node", "c", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    discard(placed)
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rooted = written(rooted.join(open_keys, "key", "left_semi"), "open")
-    pairs = _bucket_pairs(rooted.where(F.col("c") <= SMALL_BUCKET)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowded = checkpointed(rooted.where(F.col("c") > SMALL_BUCKET).select("node", "root").distinct())
+    unsettled = written(rooted.join(open_keys, "key", "left_semi"), "open")
+    discard(rooted)
+    pairs = _bucket_pairs(unsettled.where(F.col("c") <= SMALL_BUCKET)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowded = written(unsettled.where(F.col("c") > SMALL_BUCKET).select("node", "root").distinct(), "crowded")
+    used = [crowded, unsettled]
     if not crowded.isEmpty():
-        wanted = checkpointed(crowded.join(nodes.select("node", "min_id"), "node").select("node", "min_id"))
-        sets = written(_sets_of(docs, wanted, k), "crowded")
-        pairs = pairs.union(_prefix_pairs(crowded, sets, percent)).distinct()
-    pairs = checkpointed(_plausible(pairs, nodes, size, percent / 100).join(star, ["a", "b"], "left_anti"))
+        wanted = written(crowded.join(nodes.select("node", "min_id"), "node").select("node", "min_id"), "wanted")
+        sets = written(_sets_of(docs, wanted, k), "sets")
+        prefixed = _prefix_pairs(crowded, sets, percent)
+        discard(wanted, sets)
+        used.append(prefixed)
+        pairs = pairs.union(prefixed).distinct()
+    pairs = written(_plausible(pairs, nodes, size, percent / 100).join(star, ["a", "b"], "left_anti"), "pairs")
+    discard(star, *used)
     if not pairs.isEmpty():
-        more = checkpointed(_confirmed(docs, pairs, nodes, k, percent))
+        more = _confirmed(docs, pairs, nodes, k, percent)
         if not more.isEmpty():
+            discard(roots)
             roots = components(links.union(more))
+        discard(more)
+    discard(links, pairs)
 
     homes = nodes.select("node", "min_id").join(roots, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     smallest = homes.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    homes = homes.join(smallest, "root").select("node", "component_id")
+    homes = written(homes.join(smallest, "root").select("node", "component_id"), "homes")
+    discard(roots, banded)
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(homes, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -290,9 +300,14 @@ def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     # Ids come before none; the key makes the smallest one a single row of its group, or copies of it.
     named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
-    judged = near_duplicates(named, "row", "text", percent).where("n_shingles > 0 and (kept or component_id.none)")
-    kept = judged.select(F.col("row.key").alias("__key")).distinct()
-    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(worded).withColumn("__key", key).join(kept, "__key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return rows.withColumn("__place", first).where("__place = 1").select(docs.columns).union(docs.where(~worded))
+    judged = near_duplicates(named, "row", "text", percent).where("n_shingles > 0")
+    stays = F.coalesce(F.col("kept"), F.lit(False)) | F.col("component_id.none")
+    verdicts = judged.select(F.col("row.key").alias("__key"), stays.alias("stays")).groupBy("__key").agg(F.max("stays").alias("__stays"), F.count("*").alias("__copies"))
+    touched = written(verdicts.where("not __stays or __copies > 1"), "verdicts")
+    # Texts are shuffled only where a row may go; all others pass in the scan.
+    places = spare_names(docs.columns, 5)
+    rows = perhaps_in(docs.withColumn(places[0], key), F.col(places[0]), touched.select("__key"), places[1])
+    rest = rows.where(places[1]).join(touched.select(F.col("__key").alias(places[0]), F.col("__stays").alias(places[2]), F.lit(True).alias(places[3])), places[0], "left")
+    nth = F.row_number().over(Window.partitionBy(places[0]).orderBy(places[0]))
+    rest = rest.withColumn(places[4], nth).where(F.col(places[3]).isNull() | (F.col(places[2]) & (F.col(places[4]) == 1)))
+    return rows.where(~F.col(places[1])).select(docs.columns).union(rest.select(docs.columns))

@@ -33,8 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import byte_slices, scratch_path, written
+from cuewright.llm.common import byte_slices, shuffles_removed, written
 from cuewright.llm.memo_encode import MemoEncoder
+from cuewright.session import remove_at_exit, shared_path
 
 MAGIC = b"CWTOKEF1"
 #: part, block, documents, ids, bytes of an id, smallest document id, and for boundaries and
@@ -283,6 +284,11 @@ def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, encoder: Encoder, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files (in the shared folder unless ``path`` is given) and return their digest."""
-    path = path or scratch_path(docs.sparkSession, "tokens")
-    write_token_files(docs, path, encoder, end_id, id_col, text_col)
-    return read_token_digest(docs.sparkSession, path)
+    spark = docs.sparkSession
+    own = path is None
+    path = path or shared_path(spark, "tokens")
+    with shuffles_removed(spark):
+        write_token_files(docs, path, encoder, end_id, id_col, text_col)
+    if own:
+        remove_at_exit(spark, path)
+    return read_token_digest(spark, path)

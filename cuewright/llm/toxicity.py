@@ -12,7 +12,7 @@ with the same least 5-word shingle) count once between them.
 
 Defined results: null and empty texts have the score of a text without any feature. Label rows that
 are null, or whose documents are missing, teach nothing; of several labels for one id the largest
-counts. Without both classes the score is the share of toxic labels. Other columns are ignored.
+counts, of several texts the least. Without both classes the score is the share of toxic labels. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, holdout_bucket, mix64, text_buffer, written
+from cuewright.llm.common import WordCodes, ascii_lower, ascii_space, byte_slices, discard, holdout_bucket, mix64, shuffles_removed, text_buffer, written
 from cuewright.llm.near_dedup import shingle_sets
 
 PLACES = 1 << 18
@@ -138,11 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [place[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keys(data, offsets, codes)), pa.array(found, pa.binary())], ["label", "copy", "places"])
 
-    # The sample of ids is bounded by its two parameters, so it is safe to broadcast.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "id").select("label", "t")
-    rows = written(texts.mapInArrow(run, "label int, copy bigint, places binary"), "labelled")
+    # The sample of ids is bounded by its two parameters, so it is safe to broadcast, and so are its copies below.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("t").alias("t")).select("label", "t")
+    taken = rows = written(texts.mapInArrow(run, "label int, copy bigint, places binary"), "labelled")
     copies = rows.groupBy("copy").agg(F.count("*").alias("copies"))
-    rows = rows.join(copies, "copy").select("label", (1 / F.col("copies")).alias("weight"), "places")
+    rows = rows.join(F.broadcast(copies), "copy").select("label", (1 / F.col("copies")).alias("weight"), "places")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, PLACES))
@@ -169,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             own = [index[np.frombuffer(x.as_buffer(), "<i4")] for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].astype("<i4").tobytes() for x in own], pa.binary())], ["label", "weight", "own"])
 
-    found = sorted(rows.mapInArrow(reduced, "label int, weight double, own binary").collect(), key=lambda r: (r.own, r.label, r.weight))
+    with shuffles_removed(docs.sparkSession):
+        found = sorted(rows.mapInArrow(reduced, "label int, weight double, own binary").collect(), key=lambda r: (r.own, r.label, r.weight))
+    discard(taken)
     # Significance is judged on the sample itself; only the regression restores the classes' true shares.
     labels_of, weights = np.array([r.label for r in found], float), np.array([r.weight / share[r.label] for r in found], float)
     return fit([np.frombuffer(r.own, "<i4") for r in found], labels_of, weights, chosen, np.array([k.ratio for k in kept], float))
