@@ -3,8 +3,9 @@
 The model file is read with a small protobuf reader. From it are rebuilt the normaliser (character
 map, white-space rules, dummy prefix), the metaspace marker, the unigram scores or the BPE merges
 (two pieces merge if their concatenation is a piece; better scores first) and byte fallback.
-Texts are encoded in batches, or, where no piece has a space marker inside, piece by piece with a
-memory of what was seen (``MemoEncoder``). The library's threads are off unless ``threads`` is set.
+Whole texts are encoded in batches on the library's threads. Parity with the sentencepiece library, ids and decoded text, is verified when a
+worker opens the model (``PARITY_SAMPLE``) and on the head of the first text of every slice; a
+difference is an error.
 
 Defined results: null text is empty and has no ids. Characters outside the vocabulary become byte
 pieces, or the unknown id in a model without them. Special tokens are never added. Other columns of
@@ -18,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import byte_slices
-from cuewright.llm.memo_encode import MemoEncoder
 
 MARK = "▁"
-#: Pieces that a worker remembers, and bytes of text that it encodes at a time.
-MOST_PIECES, SLICE = 200_000, 4 << 20
+#: Texts with which parity is verified when a model is opened, and characters of a text looked at for each slice.
+PARITY_SAMPLE = [
+    "", " ", "a", "  two  spaces ", "tab\tand\nline", "don't stop, ever!", "naïve café É", "漢字とかな", "🙂🙃 emoji", "Ünïcödé ﬁ ①", "123 4,567.89", "▁marker ▁", "a\u0301 b\u200bc", "x" * 40,
+]
+PARITY_CHARS = 2000
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Model types of the trainer spec (fixed values).
@@ -101,11 +105,6 @@ class PieceModel:
                 self.dummy_prefix, self.squeeze_spaces, self.escape_spaces = (bool(own.get(i, 1)) for i in (3, 4, 5))
         return self
 
-    def splits_at_spaces(self) -> bool:
-        """Whether a text's ids are those of its words: no piece crosses from a word into a space."""
-        plain = not self.charsmap and self.dummy_prefix and not self.squeeze_spaces and self.escape_spaces
-        return plain and self.model_type == BPE and not any(MARK in p.lstrip(MARK) or " " in p for p in self.pieces) and USER not in self.types
-
     def merges(self) -> list[tuple[str, str]]:
         rank = {p: i for i, p in enumerate(self.pieces)}
         found = []
@@ -119,7 +118,6 @@ class PieceModel:
 
     def tokenizer(self):
         """The whole model as a ``tokenizers.Tokenizer``."""
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
         if self.model_type == BPE:
@@ -137,6 +135,8 @@ class PieceModel:
             steps.append(normalizers.Prepend(MARK if self.escape_spaces else " "))
         if self.escape_spaces:
             steps.append(normalizers.Replace(" ", MARK))
+        if self.squeeze_spaces:
+            steps.append(normalizers.Replace(Regex(f"{MARK if self.escape_spaces else ' '}+$"), ""))
         made.normalizer = normalizers.Sequence(steps)
         back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         made.decoder = decoders.Sequence(back + [decoders.Strip(" ", 1, 0)] * self.dummy_prefix)
@@ -159,95 +159,63 @@ class PieceModel:
 
 
 _SHARED: dict[str, tuple] = {}  # per worker and model file
+_LIBRARY: dict[str, object] = {}
 
 
 class PieceCodec:
     """Encodes columns of texts and decodes columns of ids with the model at ``path``."""
 
-    def __init__(self, path: str, threads: bool = False):
-        self.path, self.threads = path, threads
+    def __init__(self, path: str):
+        self.path = path
 
     def _open(self) -> tuple:
         if self.path not in _SHARED:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if self.threads else "false")
+            os.environ["TOKENIZERS_PARALLELISM"] = "true"  # workers do not fork, so threads are safe
             with open(self.path, "rb") as file:
                 model = PieceModel.parse(file.read())
             tokenizer = model.tokenizer()
-            memo = MemoEncoder(self._words, self._encoder(tokenizer.model), MOST_PIECES) if model.splits_at_spaces() else None
-            _SHARED[self.path] = model, tokenizer, memo, pa.array(model.surfaces(), pa.large_binary())
+            _SHARED[self.path] = model, tokenizer, pa.array(model.surfaces(), pa.large_binary())
+            self.verify(PARITY_SAMPLE)
         return _SHARED[self.path]
 
-    @staticmethod
-    def _words(texts: pa.Array) -> pa.ListArray:
-        """Words between single spaces; a word after further spaces keeps those as its head."""
-        lists = pc.split_pattern(texts, " ")
-        words = lists.flatten()
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        # A text that is empty has no word at all.
-        blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-        if not blank.any():
-            return lists
-        ends = np.cumsum(counts)
-        last = np.zeros(len(words), bool)
-        last[ends[counts > 0] - 1] = True
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        keep = ~blank | last
-        drop = ends[empty] - 1
-        keep[drop] = False
-        at = np.arange(len(words))
-        kept = np.flatnonzero(keep)
-        before = np.diff(np.r_[-1, kept]) - 1  # dropped words just before each kept one
-        starts = np.r_[0, ends[:-1]]
-        row = np.searchsorted(ends, kept, "right")
-        before = np.minimum(before, kept - starts[row])
-        words = words.take(pa.array(at[keep]))
-        if before.any():
-            values = words.to_pylist()
-            for i in np.flatnonzero(before):
-                values[i] = " " * int(before[i]) + values[i]
-            words = pa.array(values, words.type)
-        offsets = np.zeros(len(texts) + 1, np.int32)
-        np.cumsum(np.bincount(row, minlength=len(texts)), out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), words)
-
-    @staticmethod
-    def _encoder(core):
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [[t.id for t in core.tokenize(MARK + p.replace(" ", MARK))] for p in pieces]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((x for ids in found for x in ids), np.uint32, int(counts.sum())), counts
-
-        return encode
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets (n + 1) of each text's ids."""
-        _, tokenizer, memo, _ = self._open()
-        if memo is not None:
-            return memo(texts)
-        found = [e.ids for e in tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        _, tokenizer, _ = self._open()
+        found = [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         ends = np.zeros(len(found) + 1, np.int64)
         np.cumsum([len(x) for x in found], out=ends[1:])
-        return np.fromiter((x for ids in found for x in ids), np.uint32, int(ends[-1])), ends
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1])), ends
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The UTF-8 bytes of each text."""
-        model, _, _, surfaces = self._open()
+        model, _, surfaces = self._open()
         taken = surfaces.take(pa.array(ids))
         at = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
         data = memoryview(taken.buffers()[2] or b"")
         out = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
             text = bytes(data[at[a] : at[b]])
+            if model.squeeze_spaces:
+                text = text.lstrip(b" ")
             out.append(text[1:] if model.dummy_prefix and text[:1] == b" " else text)
         return out
 
     def differences(self, texts: list[str]) -> list[int]:
-        """Places of the texts whose ids differ from the sentencepiece library's (the parity check)."""
-        import sentencepiece
+        """Places of the texts whose ids, or what the ids decode to, differ from the sentencepiece library's."""
+        if self.path not in _LIBRARY:
+            import sentencepiece
 
-        theirs = sentencepiece.SentencePieceProcessor(model_file=self.path).encode(texts)
+            _LIBRARY[self.path] = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        library = _LIBRARY[self.path]
+        theirs = library.encode(texts)
         ids, ends = self.encode(pa.array(texts, pa.string()))
-        return [i for i, own in enumerate(theirs) if ids[ends[i] : ends[i + 1]].tolist() != own]
+        back = self.decode(ids, ends)
+        return [i for i, own in enumerate(theirs) if ids[ends[i] : ends[i + 1]].tolist() != own or back[i].decode() != library.decode(own)]
+
+    def verify(self, texts: list[str]) -> None:
+        """The parity check: an error where a text's ids are not the sentencepiece library's."""
+        if wrong := self.differences(texts):
+            raise ValueError(f"ids differ from the sentencepiece library's: {texts[wrong[0]][:200]!r}")
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -257,8 +225,9 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "t", SLICE):
+        for batch in byte_slices(batches, "t"):
             texts = batch.column(1).fill_null("")
+            codec.verify([texts[0].as_py()[:PARITY_CHARS]])
             ids, ends = codec.encode(texts)
             view, at = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
             sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])]

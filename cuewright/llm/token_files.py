@@ -46,6 +46,7 @@ BLOCK_IDS = 2 << 20
 #: Text of an id range, and how many ranges at most; larger ranges make more files, not larger ones.
 PART_BYTES, MOST_PARTS = 24 << 20, 20_000
 FILE_BLOCKS = 4
+CELLS = 1 << 16
 PARTS_A_GROUP = 256
 
 
@@ -101,9 +102,19 @@ class EliasFano:
         place = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[want - ones])
         return (place - i) << self.low_bits | int(self._low(i, i + 1)[0])
 
-    def decode(self) -> np.ndarray:
-        place = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (((place - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(0, self.n)).astype(np.int64)
+    def select_many(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` to ``last`` - 1: the high bits from one sample to the next, 256 values at a time."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        places = np.zeros(last - first, np.int64)
+        for group in range(first // SAMPLE, -(-last // SAMPLE) if last > first else 0):
+            begin = int(self.samples[group])
+            stop = int(self.samples[group + 1]) if group + 1 < len(self.samples) else 8 * len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-stop // 8)], bitorder="little")) + begin // 8 * 8
+            ones = ones[(ones >= begin) & (ones < stop)]
+            a, b = max(first, group * SAMPLE), min(last, (group + 1) * SAMPLE)
+            places[a - first : b - first] = ones[a - group * SAMPLE : b - group * SAMPLE]
+        return (((places - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(first, last)).astype(np.int64)
 
 
 def pack_block(part: int, block: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -116,8 +127,8 @@ def pack_block(part: int, block: int, doc_ids: list[int | None], counts: np.ndar
     return b"".join([MAGIC, head, ids.astype(f"<u{width}").tobytes(), bounds.tobytes(), names.tobytes(), np.packbits(null).tobytes()])
 
 
-def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
-    """part, block, document ids, boundaries and ids of every block of a file."""
+def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], EliasFano, np.ndarray]]:
+    """part, block, document ids, boundaries (n + 1, to select from) and ids of every block of a file."""
     data, at = np.frombuffer(content, np.uint8), 0
     while at < len(data):
         if content[at : at + len(MAGIC)] != MAGIC:
@@ -130,8 +141,8 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np
         names, at = EliasFano.read(data, at, n, tuple(sizes[4:]))
         null = np.unpackbits(data[at : at + -(-n // 8)])[:n]
         at += -(-n // 8) + 1
-        doc_ids = [None if x else int(d) + least for d, x in zip(names.decode().tolist(), null.tolist())]
-        yield part, block, doc_ids, bounds.decode(), ids
+        doc_ids = [None if x else int(d) + least for d, x in zip(names.select_many(0, n).tolist(), null.tolist())]
+        yield part, block, doc_ids, bounds, ids
 
 
 def _load(path: str):
@@ -199,20 +210,45 @@ class WordBpe:
 Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+def range_edges(ids: DataFrame, parts: int) -> np.ndarray:
+    """Ascending values that cut ``id`` into at most ``parts`` ranges of about equal numbers of rows.
+
+    Rows are counted by the leading bits of their ids, in at most ``CELLS`` cells, and cells with more than
+    two ranges' rows by four more bits, again and again; counts are combined before they are shuffled.
+    """
+    known = ids.where("id is not null")
+    low, high, n = known.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    if parts < 2 or not n:
+        return np.zeros(0, np.int64)
+    shift = next(s for s in range(64) if (high >> s) - (low >> s) < CELLS)
+    target, leaves, split = n / parts, [], None
+    while True:
+        cell = F.shiftright("id", shift).alias("cell")
+        rows = known.select(cell, "id") if split is None else known.select(cell, "id", F.shiftright("id", shift + 4).alias("over")).join(F.broadcast(split), "over")
+        found = [(r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect()]
+        heavy = [c for c, k in found if k > 2 * target and shift > 3]  # fewer than half as many as ranges
+        leaves += [(c << shift, k) for c, k in found if k <= 2 * target or shift <= 3]
+        if not heavy:
+            break
+        shift, split = shift - 4, ids.sparkSession.createDataFrame([(c,) for c in heavy], "over long")
+    edges, behind = [], 0
+    for first, k in sorted(leaves):
+        if behind >= target * (len(edges) + 1) and len(edges) < parts - 1:
+            edges.append(first)
+        behind += k
+    return np.array(edges, np.int64)
+
+
 def write_token_files(docs: DataFrame, path: str, encoder: Encoder, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id`` and write the files at ``path`` in ascending id order.
 
-    Texts are encoded where they are read and only ids are shuffled. Range bounds come from a
-    quantile summary of the ids, at most ``MOST_PARTS`` values.
+    Texts are encoded where they are read and only ids are shuffled. Range bounds come from
+    ``range_edges``, at most ``MOST_PARTS`` values.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     total, = docs.agg(F.sum(F.octet_length("t"))).first()
     parts = max(1, min(MOST_PARTS, -(-(total or 0) // PART_BYTES)))
-    bounds: list[int] = []
-    if parts > 1:
-        at = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("id", at, max(10_000, 20 * parts))).first()[0] or []))
-    edges = np.array(bounds, np.int64)
+    edges = range_edges(docs.select("id"), parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "t", 8 << 20):
@@ -251,7 +287,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Encoder, end_id: int,
             yield flush()
 
     encoded = docs.mapInArrow(encode, "id bigint, width int, ids binary, part int")
-    placed = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    placed = encoded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     blocks = placed.mapInArrow(pack, "data binary")
     blocks.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path, lineSep="\n")
 
@@ -264,10 +300,11 @@ def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 for part, block, doc_ids, bounds, ids in read_blocks(content.as_py()):
                     view = memoryview(ids.astype("<u4").tobytes())
-                    ends = bounds.tolist()
+                    at = bounds.select_many(0, bounds.n)
+                    ends = at.tolist()
                     sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
                     n = len(doc_ids)
-                    columns = [pa.array(doc_ids, pa.int64()), pa.array(np.full(n, part)), pa.array(np.full(n, block)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())]
+                    columns = [pa.array(doc_ids, pa.int64()), pa.array(np.full(n, part)), pa.array(np.full(n, block)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "block", "local", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
