@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The limits' defaults, the prices of a break and a layout, and marks; they decide results.
 @dataclass(frozen=True)
 class CueRules:
     """Layout and timing limits of a cue, in characters and seconds."""
@@ -25,6 +26,16 @@ class CueRules:
 
 
 DEFAULT_RULES = CueRules()
+CUE_WORDS = 40
+CUE_PRICE, FULLNESS_PRICE, INNER_SENTENCE_PRICE, LONE_WORD_PRICE = 4, 10, 2.5, 6
+OVERLONG_PRICE, OVERLONG_S_PRICE, FAST_PRICE, BRISK_PRICE, BRIEF_S_PRICE = 50, 20, 3, 0.3, 4
+BREAK_PRICES = {"sentence": 0.0, "clause": 2.0, "other": 6.0, "weak": 8.0, "before": -3.0}
+PAUSE_REWARD, PAUSE_MOST_S = 6, 0.6
+SPLIT_PRICES = {"sentence": -14, "clause": -8, "weak": 12, "after_sentence": 8, "before": -3}
+UNEVEN_PRICE, TOP_HEAVY_PRICE, SPLIT_SHARE = 0.5, 1, 0.4
+REPEAT_CHARS, REPEAT_MS, PUSH_MS = 32, 1000, 100
+PUNCTUATION = r"^[.,!?;:…%)\]}\"'”’»\-–—]+$"
+CONTRACTION = r"(?i)^(?:['’](?:s|t|d|m|re|ll|ve)|n['’]t)$"
 
 # Word lists, phrases and marks whose content decides results.
 ABBREVIATIONS = "mr mrs ms dr st prof sr jr vs etc mt lt col gen sgt capt".split()

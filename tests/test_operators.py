@@ -220,7 +220,7 @@ def test_loops_and_repeats(spark):
     rows = [(0, i, i * 300, i * 300 + 250, w, 0.9) for i, w in enumerate(["no"] * 7 + ["stop"])]
     out = sequence.collapse_loops(spark.createDataFrame(rows, "film int, idx int, start_ms long, end_ms long, text string, prob double")).orderBy("idx").collect()
     assert [r.text for r in out] == ["no", "no", "no", "stop"]
-    thanks = ["Thank", "you."]
+    thanks = "Thank you."
     assert len(cues.drop_repeats([(0, 1000, thanks), (1600, 2600, thanks)])) == 1 and len(cues.drop_repeats([(0, 1000, thanks), (4000, 5000, thanks)])) == 2
 
 
