@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 
 VOWELS = "AEIOU"
 
-# One rule per entry, tried in order at each letter: (letter, what must follow, what must stand
+# The rules of the original Metaphone (L. Philips, "Hanging on the Metaphone", Computer
+# Language 7, 1990), whose results are defined by them. One rule per entry, tried in order at each letter: (letter, what must follow, what must stand
 # before, result). Patterns are anchored at the letter; "" as result codes nothing.
 _RULES: list[tuple[str, str, str, str]] = [
     ("B", r"$", r"M$", ""), ("B", "", "", "B"),

@@ -84,3 +84,14 @@ WITHIN_MS = (100, 250, 500)
 LOCAL_NEIGHBOURS = 25
 QA_BUCKETS = (1, 2, 5, 10, 20, 40, 80, 160)
 SILENT_DBFS, SHORTFALL_S = -55.0, 0.25
+
+# What names of files, roles and plots are read by; their content decides results.
+RELEASE_WORDS = [
+    r"\d{3,4}p", r"web[\s.-]?dl", "webrip", "bluray", "brrip", "hdtv", "x26[45]", r"h\.?26[45]", "hevc", "remux",
+]
+SEASON_WORDS = ["season", "series", "staffel", "saison"]
+CENTURIES = ["19", "20"]
+SPOKEN_PARTS = ["Actor", "GuestStar"]
+ROLE_NOTES = ["voice", "uncredited", "archive[^)]*"]
+NO_NAMES = ["himself", "herself", "themselves", "self", "narrator", "additional voices?"]
+TERM = r"[A-Z][a-z]+(?:[-'][A-Z]?[a-z]+)*"
