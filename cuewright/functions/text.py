@@ -156,3 +156,14 @@ def glob_pattern(glob: str) -> str:
             out += {"*": ".*", "?": "."}.get(c) or ("\\" + c if not c.isalnum() else c)
         i += 1
     return f"(?s)^{out}$"
+
+
+def one_decimal(x: Column) -> Column:
+    """A number of 0 or more with one decimal, rounded as its binary value is, ties to even (Java's formats round ties up)."""
+    bits = 58  # a fraction near a tie has none below, and ten times it still fits a long
+    unit = 1 << bits
+    tenths = F.floor((x - F.floor(x)) * float(unit)).cast("bigint") * 10
+    digit, rest = F.shiftright(tenths, bits), tenths.bitwiseAND(F.lit(unit - 1))
+    up = (2 * rest > unit) | ((2 * rest == unit) & (digit % 2 == 1))
+    total = F.floor(x).cast("bigint") * 10 + digit + up.cast("bigint")
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))

@@ -87,3 +87,43 @@ def effective_pipeline(enabled: Column, failed: Column, aligned: Column, total:
 
 def progress_percent(done_s: Column, total_s: Column) -> Column:
     return F.when(total_s > 0, F.least(F.lit(100.0), F.bround(100 * done_s / total_s, 1))).otherwise(0.0)
+
+
+def outdated_own(state: DataFrame, videos: DataFrame, subtitles: DataFrame, sidecars: DataFrame, pipeline: int, max_attempts: int = 2) -> DataFrame:
+    """Outdated outputs whose video (path, size, mtime) is unchanged and has no sidecar (path, sidecar) but that output."""
+    others = sidecars.join(state.select("path", "subtitle"), "path").where("sidecar <> subtitle").select("path")
+    known = videos.select("path", F.col("size").alias("v_size"), F.col("mtime").alias("v_mtime"))
+    old = outdated_outputs(state, subtitles, pipeline, max_attempts).join(known, "path")
+    return old.where(same_file(F.col("size"), F.col("mtime"), F.col("v_size"), F.col("v_mtime"))).join(others, "path", "left_anti").drop("v_size", "v_mtime")
+
+
+def superseded(results: DataFrame, outdated: DataFrame) -> DataFrame:
+    """(path, replaces): old outputs to delete: a result (path, subtitle, replaces) went elsewhere, and the old one is still outdated."""
+    return results.where("replaces is not null and replaces <> subtitle").join(outdated.select("path", F.col("subtitle").alias("replaces")), ["path", "replaces"], "left_semi").select("path", "replaces")
+
+
+def scan_summary(actions: DataFrame) -> DataFrame:
+    """One row of a scan's counts: queued, skipped, regen (``action`` of each file)."""
+    return actions.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("queued", "skipped", "regen")))
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """(name, value): what a service counts: jobs processed and failed, seconds of media, outcomes of alignment."""
+    sums = events.agg(
+        F.count_if(F.col("status") == "done").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.coalesce(F.sum("media_s"), F.lit(0.0)).alias("media_seconds"), F.count_if("align_error").alias("align_errors"),
+    )
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in sums.columns))
+    return sums.select(F.explode(pairs).alias("p")).select("p.name", "p.value")
+
+
+def exposition(counts: DataFrame, prefix: str = "cuewright") -> DataFrame:
+    """(line): counters (name, value) as text lines for a metrics scraper."""
+    value = F.when(F.col("value") == F.floor("value"), F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string"))
+    return counts.select(F.concat(F.lit(f"{prefix}_"), "name", F.lit(" "), value).alias("line"))
+
+
+def quality_json(scores: DataFrame) -> DataFrame:
+    """(film, qa_json): a film's scores as JSON with sorted keys."""
+    names = sorted(c for c in scores.columns if c != "film")
+    return scores.select("film", F.to_json(F.struct(*names)).alias("qa_json"))

@@ -70,8 +70,8 @@ def rates(scores: DataFrame) -> DataFrame:
 
 def report_rows(scores: DataFrame) -> DataFrame:
     """(film, label, value): a printable report."""
-    rows = rates(scores).select("film", F.col("counter").alias("label"), F.format_string("%d (%.1f%%)", "count", F.col("rate") * 100).alias("value"))
-    last = scores.select("film", F.lit("violations / 100 cues").alias("label"), F.format_string("%.1f", "violations_per_100").alias("value"))
+    rows = rates(scores).select("film", F.col("counter").alias("label"), F.concat(F.col("count").cast("string"), F.lit(" ("), T.one_decimal(F.col("rate") * 100), F.lit("%)")).alias("value"))
+    last = scores.select("film", F.lit("violations / 100 cues").alias("label"), T.one_decimal(F.col("violations_per_100")).alias("value"))
     return rows.union(last)
 
 

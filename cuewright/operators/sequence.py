@@ -86,6 +86,13 @@ def fill_gaps(words: DataFrame) -> DataFrame:
     )
 
 
+def core_spans(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """``lo``, ``hi``: a segment's span with the spans of its words (film, seg, start_ms, end_ms), if it has any."""
+    spans = words.groupBy("film", "seg").agg(F.min("start_ms").alias("w_start"), F.max("end_ms").alias("w_end"))
+    rows = segments.join(spans, ["film", "seg"], "left")
+    return rows.withColumns({"lo": F.least("start_ms", "w_start"), "hi": F.greatest("end_ms", "w_end")}).drop("w_start", "w_end")
+
+
 def audio_windows(segments: DataFrame, pad_ms: int = 500, overlap_ms: int = 250) -> DataFrame:
     """``w_lo``, ``w_hi``: each segment with padding that reaches only a little into its neighbours
     (columns lo, hi: its core; total: the film's length)."""

@@ -108,3 +108,18 @@ def snap_cues(cues: DataFrame, cuts: DataFrame, fps: float = R.DEFAULT_FPS, rule
     rows = rows.withColumn("end_result", result)
     new_end = F.when(F.col("end_result") == "snapped", moved).otherwise(F.col("end_ms"))
     return rows.withColumn("new_end_ms", new_end).drop("cut", "next_start", "prev_end", "chars", "own_ok", "open", "gap_ok", "pos", "last_gap", "last_bad")
+
+
+def video_stream(streams: Column) -> Column:
+    """The first video stream that is no attached picture, of structs (codec_type, attached_pic, ...)."""
+    return F.get(F.filter(streams, lambda s: (s.codec_type == "video") & ~F.coalesce(s.attached_pic, F.lit(False))), F.lit(0))
+
+
+def seconds_or_zero(value: Column) -> Column:
+    """A probe's number of seconds; 0 where it is missing or no number."""
+    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
+
+
+def on_zero_clock(cuts: DataFrame, start_s: Column) -> DataFrame:
+    """Cut times less the stream's start time, to six digits."""
+    return cuts.withColumn("t", F.bround(F.col("t") - start_s, 6))

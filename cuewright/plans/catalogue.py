@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -93,20 +94,30 @@ def cue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.cue_metrics(V.cues(spark, sf_dir)).select("film", "cue_idx", "duration", "n_lines", "chars", "cps"), "duration", "cps")
 
 
-@query()
+_BOTH_SCORES = f"{_SCORES}, {_SCORES[5:].replace('FROM cues', 'FROM shifted_cues')}"
+for _name in ("metrics", "keyed", "found", "sums", "scores"):  # the second chain under names of its own
+    _head, _, _tail = _BOTH_SCORES.partition(_SCORES)
+    _BOTH_SCORES = _SCORES + re.sub(rf"\b{_name}\b", f"{_name}2", _tail)
+
+
+@query(
+    f"""{_BOTH_SCORES}, labels AS (
+      SELECT film, counter AS label, n, cues FROM scores, LATERAL (VALUES {', '.join(f"('{c}', {c})" for c in quality.COUNTERS)}) AS v(counter, n)
+    ), labels2 AS (
+      SELECT film, counter AS label, n, cues FROM scores2, LATERAL (VALUES {', '.join(f"('{c}', {c})" for c in quality.COUNTERS)}) AS v(counter, n)
+    ), shown AS (SELECT film, label, printf('%d (%.1f%%)', n, n::DOUBLE / cues * 100) AS value FROM labels UNION ALL SELECT film, 'violations / 100 cues', printf('%.1f', violations_per_100) FROM scores),
+    shown2 AS (SELECT film, label, printf('%d (%.1f%%)', n, n::DOUBLE / cues * 100) AS value FROM labels2 UNION ALL SELECT film, 'violations / 100 cues', printf('%.1f', violations_per_100) FROM scores2)
+    SELECT a.film, a.label, a.value AS left_value, b.value AS right_value FROM shown a JOIN shown2 b USING (film, label)""", "cues", "shifted_cues",
+)
 def report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = (quality.report_rows(quality.score(x)) for x in (V.cues(spark, sf_dir), V.shifted_cues(spark, sf_dir)))
     return quality.side_by_side(left, right)
 
 
-@query(
-    f"""{_SCORES}, old AS (SELECT * FROM scores WHERE film % 2 = 0), new AS (SELECT * REPLACE (0.0::DOUBLE AS violations_per_100) FROM scores WHERE film % 3 = 0)
-    {_ROUNDED_SCORES} (SELECT * FROM new UNION ALL SELECT * FROM old WHERE film NOT IN (SELECT film FROM new))""", "cues",
-)
+@query(f"{_BOTH_SCORES} {_ROUNDED_SCORES} (SELECT * FROM scores2 UNION ALL SELECT * FROM scores WHERE film NOT IN (SELECT film FROM scores2))", "cues", "shifted_cues")
 def eval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = quality.score(V.cues(spark, sf_dir))
-    merged = quality.merge_scores(scores.where("film % 2 = 0"), scores.where("film % 3 = 0").withColumn("violations_per_100", F.lit(0.0)))
-    return rounded(merged, *_FIGURES)
+    """The scores of all cues, replaced by those of another release where it has the film."""
+    return rounded(quality.merge_scores(quality.score(V.cues(spark, sf_dir)), quality.score(V.shifted_cues(spark, sf_dir))), *_FIGURES)
 
 
 # --- subtitle files ----------------------------------------------------------------------------
@@ -140,7 +151,7 @@ WITH rows AS (
   SELECT *, {_ISOLATED} AS isolated, trim(text) AS t,
     [regexp_replace(x, '[^\p{{L}}]', '', 'g') FOR x IN regexp_split_to_array(trim(text), '\s+') IF x <> ''] AS w,
     trim(regexp_replace(regexp_replace(replace(lower(text), '.', ''), '[^a-z ]+', '', 'g'), ' +', ' ', 'g')) AS phrase
-  FROM segments WINDOW s AS (PARTITION BY film ORDER BY seg)
+  FROM noisy_segments WINDOW s AS (PARTITION BY film ORDER BY seg)
 ), caps AS (
   SELECT *, [x FOR x IN w IF length(x) >= 3 AND x <> 'OK'] AS long, isolated AND mean_prob < 0.85 AS low FROM rows
 ), classed AS (
@@ -151,14 +162,14 @@ WITH rows AS (
 )"""
 
 
-@query(f"{_CLASSES} SELECT film, seg, coalesce(drop_reason, 'kept') AS decision FROM classed", "segments")
+@query(f"{_CLASSES} SELECT film, seg, coalesce(drop_reason, 'kept') AS decision FROM classed", "noisy_segments")
 def hallucination_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speech.classify_segments(V.segments(spark, sf_dir)).select("film", "seg", F.coalesce("drop_reason", F.lit("kept")).alias("decision"))
+    return speech.classify_segments(V.noisy_segments(spark, sf_dir)).select("film", "seg", F.coalesce("drop_reason", F.lit("kept")).alias("decision"))
 
 
-@query(f"{_CLASSES} SELECT drop_reason AS reason, count(*) AS n FROM classed WHERE drop_reason IS NOT NULL GROUP BY drop_reason", "segments")
+@query(f"{_CLASSES} SELECT drop_reason AS reason, count(*) AS n FROM classed WHERE drop_reason IS NOT NULL GROUP BY drop_reason", "noisy_segments")
 def dropped_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speech.classify_segments(V.segments(spark, sf_dir)).where("drop_reason is not null").groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n"))
+    return speech.classify_segments(V.noisy_segments(spark, sf_dir)).where("drop_reason is not null").groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT film, seg, len(regexp_extract_all(lower(text), '[A-Za-z'']+')) >= 4 AND NOT regexp_matches(lower(text), '[A-Z.,?!;:]') AS unpunctuated FROM turns", "turns")
@@ -172,6 +183,20 @@ def repair_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.repair_windows(speech.unpunctuated_groups(bare), bare)
 
 
+@query()
+def punctuation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments without marks, repaired by their own words with marks, some runs decoded to nothing, to other words or without marks."""
+    whole = V.segments(spark, sf_dir)
+    bare = whole.withColumn("text", F.when(F.col("seg") % 3 > 0, F.regexp_replace(F.lower("text"), "[.,?!;:]", "")).otherwise(F.col("text")))
+    groups = speech.unpunctuated_groups(bare)
+    words = V.words(spark, sf_dir).join(groups.select("film", "first_seg", "last_seg"), "film").where("seg between first_seg and last_seg")
+    text = F.when(F.col("first_seg") % 7 == 2, F.lower(F.regexp_replace("text", "[.,?!;:]", ""))).when(F.col("first_seg") % 7 == 4, F.concat(F.lit("No"), "idx", F.lit("."))).otherwise(F.col("text"))
+    decoded = words.where("first_seg % 7 <> 1").select("film", "first_seg", "idx", "start_ms", "end_ms", text.alias("text"), "prob")
+    fixed, verdicts = speech.repair(bare, decoded, groups)
+    kept = fixed.select("film", F.lit("segment").alias("kind"), F.col("seg").cast("bigint").alias("seg"), "start_ms", "end_ms", "text")
+    return kept.union(verdicts.select("film", F.lit("verdict"), F.col("first_seg"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.coalesce("reason", F.lit("repaired"))))
+
+
 # --- words -------------------------------------------------------------------------------------
 
 _KEY = r"""trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_'']+', '', 'g'), '''')"""
@@ -300,7 +325,17 @@ def judge_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.admit_edits(judged.withColumn("film", F.lit(0))).select("window", "pos", "i", "verdict", "reason", "admitted")
 
 
-@query()
+_EDGES = r"""'^(\s*["''“‘(\[¿¡«-]*)(.*?)([.,!?;:…"''”’)\]»-]*)$'"""
+
+
+@query(
+    rf"""WITH edited AS (
+      SELECT *, coalesce(regexp_matches(lag(text) OVER s, '[.!?…][''"”’)\]]*$') AND regexp_replace(lower(lag(text) OVER s), '[^a-z0-9]', '', 'g') NOT IN ({', '.join(f"'{a}'" for a in R.ABBREVIATIONS_IN_LINES)}), true) AS initial,
+        (end_ms - start_ms) AS span, regexp_extract(text, {_EDGES}, 1, 's') AS lead, regexp_extract(text, {_EDGES}, 3, 's') AS trail FROM words WINDOW s AS (PARTITION BY film ORDER BY idx))
+    SELECT film, idx, 0 AS part, start_ms, end_ms, text, prob FROM edited WHERE idx % 19 <> 4
+    UNION ALL SELECT film, idx, 0, start_ms, start_ms + span * 3 // 8, lead || CASE WHEN initial THEN 'Two' ELSE 'two' END, 1.0 FROM edited WHERE idx % 19 = 4
+    UNION ALL SELECT film, idx, 1, start_ms + span * 3 // 8, end_ms, ' words' || trail, 1.0 FROM edited WHERE idx % 19 = 4""", "words",
+)
 def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = V.words(spark, sf_dir)
     edits = words.where("idx % 19 = 4").select("film", "idx", F.lit("two words").alias("rep"))
@@ -371,7 +406,15 @@ def wordcount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.turns(spark, sf_dir).select("film", "seg", F.size(T.surface_words(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query()
+_BELOW_1000 = """concat_ws(' ', CASE WHEN {0} >= 100 THEN ones[{0} // 100 + 1] || ' hundred' END,
+  CASE WHEN {0} % 100 = 0 THEN CASE WHEN {0} = 0 THEN 'zero' END WHEN {0} % 100 < 20 THEN ones[{0} % 100 + 1] WHEN {0} % 10 = 0 THEN tens[{0} % 100 // 10 - 1] ELSE tens[{0} % 100 // 10 - 1] || ' ' || ones[{0} % 10 + 1] END)"""
+
+
+@query(
+    f"""WITH n AS (SELECT o_orderkey AS n, 'zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen'.string_split(' ') AS ones,
+      'twenty thirty forty fifty sixty seventy eighty ninety'.string_split(' ') AS tens FROM orders)
+    SELECT n, CASE WHEN n BETWEEN 0 AND 999999 THEN CASE WHEN n < 1000 THEN {_BELOW_1000.format('n')} ELSE concat_ws(' ', {_BELOW_1000.format('(n // 1000)')}, 'thousand', CASE WHEN n % 1000 > 0 THEN {_BELOW_1000.format('(n % 1000)')} END) END ELSE n::VARCHAR END AS words FROM n"""
+)
 def num_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.when(F.col("n").between(0, 999_999), F.array_join(T.number_words(F.col("n")), " ")).otherwise(F.col("n").cast("string"))
     return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).select("n", words.alias("words"))
@@ -619,11 +662,19 @@ def _drained(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query()
+@query(
+    """WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER s <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts)),
+    runs AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS events FROM runs GROUP BY user_id, run"""
+)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions closed by the watermark; those still open at the end of the data are not given."""
+    """All sessions: those that the watermark closed, and at the end those still open."""
     V.table(spark, sf_dir, "events")
-    return _drained(jobs.sessions(jobs.event_stream(spark, f"{sf_dir}/events.parquet")), spark, "sessions")
+    path = f"{sf_dir}/events.parquet"
+    closed = _drained(jobs.sessions(jobs.event_stream(spark, path)), spark, "sessions")
+    events = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = jobs.with_open_sessions(closed, events)
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
 @query("SELECT user_id AS path, bool_or(event_type = 'error') AS forced FROM events GROUP BY user_id")

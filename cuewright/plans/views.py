@@ -40,6 +40,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(turns(spark, sf_dir), ["film", "seg"])
 
 
+def noisy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments, some of them shouted, bracketed, musical or a stock phrase, two in three with a low probability."""
+    k = (F.col("film") * 7 + F.col("seg")) % 11
+    text = F.when(k == 3, F.upper("text")).when(k == 5, F.concat(F.lit("["), F.trim("text"), F.lit("]"))).when(k == 7, "Thank you.").when(k == 9, "♪ ♪").otherwise(F.col("text"))
+    return segments(spark, sf_dir).withColumns({"text": text, "mean_prob": F.when((F.col("film") + F.col("seg")) % 3 > 0, F.col("mean_prob") / 4).otherwise(F.col("mean_prob"))})
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(film, cue_idx, start_ms, end_ms, text): a cue per line; some are shortened, overlapped or repeated."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -120,6 +127,11 @@ SQL = {
     "segments": """
   SELECT film, seg, start_ms, end_ms, mean_prob, text FROM (
     SELECT film, seg, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(prob_pct) / (100.0 * count(*)) AS mean_prob FROM words GROUP BY film, seg) JOIN turns USING (film, seg)""",
+    "noisy_segments": """
+  SELECT film, seg, start_ms, end_ms, CASE WHEN (film + seg) % 3 > 0 THEN mean_prob / 4 ELSE mean_prob END AS mean_prob,
+    CASE (film * 7 + seg) % 11 WHEN 3 THEN upper(text) WHEN 5 THEN '[' || trim(text) || ']' WHEN 7 THEN 'Thank you.' WHEN 9 THEN '♪ ♪' ELSE text END AS text FROM segments""",
+    "shifted_cues": """
+  SELECT film, cue_idx, start_ms + 350 AS start_ms, end_ms + 350 AS end_ms, CASE WHEN cue_idx % 23 = 11 THEN 'Well, ' || text ELSE text END AS text FROM cues WHERE cue_idx % 17 <> 16""",
     "cues": """
   SELECT film, cue_idx, start_ms,
     CAST(CASE WHEN cue_idx % 7 = 3 THEN start_ms + 500 WHEN cue_idx % 11 = 5 THEN start_ms + dur + 400 ELSE start_ms + dur END AS BIGINT) AS end_ms,
@@ -141,7 +153,7 @@ SQL = {
     '/media/' || user_id || '.srt' AS subtitle, event_id % 7 AS sub_size, value AS sub_mtime FROM events""",
     "samples": "SELECT label AS film, vec_id AS block, embedding AS samples FROM embeddings",
 }
-_NEEDS = {"words": ["turns"], "segments": ["turns", "words"], "cues": ["turns"], "listing": ["files"]}
+_NEEDS = {"words": ["turns"], "segments": ["turns", "words"], "noisy_segments": ["turns", "words", "segments"], "cues": ["turns"], "shifted_cues": ["turns", "cues"], "listing": ["files"]}
 
 
 def with_views(sql: str, *names: str) -> str:

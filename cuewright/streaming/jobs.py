@@ -31,6 +31,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return grouped.agg(F.count("*").alias("events")).select("user_id", "w.start", "w.end", "events")
 
 
+def with_open_sessions(closed: DataFrame, events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """The closed sessions, and those of events (a batch) behind a user's last closed one, which the watermark has not reached."""
+    last = closed.groupBy("user_id").agg(F.max("end").alias("closed_to"))
+    rest = events.join(last, "user_id", "left").where(F.col("closed_to").isNull() | (F.col("ts") > F.col("closed_to")))
+    open_ones = rest.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
+    return closed.select("user_id", "start", "end", "events").union(open_ones.select("user_id", "w.start", "w.end", "events"))
+
+
 def queue(jobs: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each (path, source) once within the watermark."""
     return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path"])

@@ -340,3 +340,52 @@ def test_local_offsets_within_long_runs_of_equal_times(spark):
         expected.append((0, t, d, d - statistics.median(others)))
     found = sequence.local_offsets(spark.createDataFrame(rows, "film int, t double, d double").repartition(3)).collect()
     assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_repair_replaces_what_it_may(spark):
+    bare = [("Hello there, all.", 0, 5), ("and so we went home", 5, 10), ("then it was dark", 10, 14), ("Yes.", 14, 16), ("now we have some time", 16, 20), ("Well.", 20, 21), ("one two three four", 21, 25)]
+    df = spark.createDataFrame([(0, i, s * 1000, e * 1000, t, 0.5) for i, (t, s, e) in enumerate(bare)], "film int, seg int, start_ms long, end_ms long, text string, mean_prob double")
+    groups = speech.unpunctuated_groups(df)
+    new = {1: "early. And so we went home. Then it was dark. late", 4: "Something else was said here.", 6: "one two three four"}
+    times = {1: [(4000, 4100)] + [(5000 + 800 * i, 5700 + 800 * i) for i in range(9)] + [(14_040, 14_200)], 4: [(16_000 + i, 16_500) for i in range(5)], 6: [(21_000 + i, 21_500) for i in range(4)]}
+    rows = [(0, g, i, *times[g][i], w, 0.9) for g, t in new.items() for i, w in enumerate(t.split())]
+    fixed, verdicts = speech.repair(df, spark.createDataFrame(rows, "film int, first_seg long, idx int, start_ms long, end_ms long, text string, prob double"), groups)
+    assert {(r.first_seg, r.reason) for r in verdicts.collect()} == {(1, None), (4, "different words"), (6, "still unpunctuated")}
+    out = fixed.orderBy("seg").collect()
+    assert [r.seg for r in out] == [0, 1, 2, 3, 4, 5] and out[1].text == "And so we went home. Then it was dark." and (out[1].start_ms, out[1].end_ms) == (5000, 12_100)
+    nothing = speech.repair(df, spark.createDataFrame([], "film int, first_seg long, idx int, start_ms long, end_ms long, text string, prob double"), groups)
+    assert {r.reason for r in nothing[1].collect()} == {"empty"} and nothing[0].count() == df.count()
+
+
+def test_episodes_casts_and_chunks(spark):
+    wanted = spark.createDataFrame([("/a.mkv", "s", 1, 2), ("/b.mkv", "s", 1, 3), ("/c.mkv", "s", 9, 9)], "path string, series string, season int, episode int")
+    items = spark.createDataFrame([("s", "/a.mkv", 5, 5, "by path"), ("s", "/x.mkv", 1, 2, "no"), ("s", "/y.mkv", 1, 3, "by number")], "series string, path string, season int, number int, id string")
+    assert {r.path: r.id for r in context.episode_of(wanted, items).collect()} == {"/a.mkv": "by path", "/b.mkv": "by number", "/c.mkv": None}
+    df = spark.createDataFrame([([("GuestStar", "Zoe Ray")], [("Actor", "Adam Fox"), ("Actor", "Zoe Ray")])], "g array<struct<type string, role string>>, r array<struct<type string, role string>>")
+    assert df.select(context.cast_of(F.col("g"), F.col("r")).alias("n")).first().n == ["Zoe Ray", "Adam Fox"]
+    segments = spark.createDataFrame([(0, 0, 0, 100, 900, None), (0, 1, 0, 0, 500, "de"), (0, 1, 1, 600, 700, "en")], "film int, chunk int, seg int, start_ms long, end_ms long, language string")
+    chunks = spark.createDataFrame([(0, 0, 0, 32_000), (0, 1, 32_000, 64_000)], "film int, chunk int, start long, end long")
+    got = audio.on_film_clock(segments, chunks).orderBy("seg").collect()
+    assert [(r.seg, r.start_ms, r.end_ms, r.language) for r in got] == [(0, 100, 900, "de"), (1, 2000, 2500, "de"), (2, 2600, 2700, "de")]
+    levels = spark.createDataFrame([(True, -60.0), (True, -20.0), (False, -90.0), (True, None)], "c boolean, d double")
+    assert [r.x for r in levels.select(audio.needs_whole_mix(F.col("c"), F.col("d")).alias("x")).collect()] == [True, False, False, True]
+    spans = sequence.core_spans(segments.select("film", F.col("chunk").alias("seg"), "start_ms", "end_ms").limit(1), spark.createDataFrame([(0, 0, 50, 950)], "film int, seg int, start_ms long, end_ms long")).first()
+    assert (spans.lo, spans.hi) == (50, 950)
+    streams = spark.createDataFrame([([("audio", False, 1), ("video", True, 2), ("video", None, 3)], "x", "1.5")], "s array<struct<codec_type string, attached_pic boolean, n int>>, bad string, good string")
+    r = streams.select(shots.video_stream(F.col("s"))["n"].alias("n"), shots.seconds_or_zero(F.col("bad")).alias("b"), shots.seconds_or_zero(F.col("good")).alias("g")).first()
+    assert (r.n, r.b, r.g) == (3, 0.0, 1.5)
+
+
+def test_outputs_that_are_replaced(spark):
+    state = spark.createDataFrame([("/v1", 5, 1.0, "done", 1, 0, "/v1.srt", 9, 2.0), ("/v2", 5, 1.0, "done", 1, 0, "/v2.srt", 9, 2.0), ("/v3", 5, 1.0, "done", 1, 0, "/v3.srt", 9, 2.0)], "path string, size long, mtime double, status string, pipeline int, regen_attempts int, subtitle string, sub_size long, sub_mtime double")
+    videos = spark.createDataFrame([("/v1", 5, 1.5), ("/v2", 5, 1.0), ("/v3", 6, 1.0)], "path string, size long, mtime double")
+    subs = spark.createDataFrame([(f"/v{i}.srt", 9, 2.0) for i in (1, 2, 3)], "path string, size long, mtime double")
+    beside = spark.createDataFrame([("/v1", "/v1.srt"), ("/v2", "/v2.srt"), ("/v2", "/v2.de.srt")], "path string, sidecar string")
+    old = ledger.outdated_own(state, videos, subs, beside, 4)
+    assert [r.path for r in old.collect()] == ["/v1"]
+    results = spark.createDataFrame([("/v1", "/new.srt", "/v1.srt"), ("/v2", "/v2.srt", "/v2.srt"), ("/v3", "/n.srt", None)], "path string, subtitle string, replaces string")
+    assert [tuple(r) for r in ledger.superseded(results, old).collect()] == [("/v1", "/v1.srt")]
+    assert tuple(ledger.scan_summary(spark.createDataFrame([("queued",), ("queued",), ("regen",)], "action string")).first()) == (2, 0, 1)
+    events = spark.createDataFrame([("done", 60.5, True), ("failed", None, False)], "status string, media_s double, align_error boolean")
+    assert [r.line for r in ledger.exposition(ledger.counters(events)).collect()] == ["cuewright_processed 1", "cuewright_failed 1", "cuewright_media_seconds 60.5", "cuewright_align_errors 1"]
+    assert ledger.quality_json(spark.createDataFrame([(0, 2, 1)], "film int, b int, a int")).first().qa_json == '{"a":1,"b":2}'
