@@ -11,7 +11,8 @@ documents without a shuffle:
 2. CGK: a random walk copies a window to 3n places, stepping on after a word by a random bit of the
    place and word. Edit distance becomes Hamming distance. Keys sample ``bits`` places; a window goes
    on if any of its keys is the item's. How many walks are used is found by simulating items with the
-   most edits allowed until ``recall`` of them share a key.
+   most edits allowed until ``recall`` of them share a key; where ``MOST_WALKS`` do not reach that, all
+   windows go on.
 3. verification: exact edit distance between the item and the best stretch around the window.
 
 The items are a stated query set: they are sent to the executors in blocks of at most
@@ -37,6 +38,8 @@ from cuewright.llm.common import WordCodes, byte_slices, mix64, seed, text_buffe
 
 SAMPLINGS = 16
 MOST_WALKS = 24
+#: Places of walks held at a time, and simulated in all.
+CELLS, SIMULATED_CELLS = 1 << 22, 1 << 27
 
 
 def plain_words() -> np.ndarray:
@@ -90,60 +93,80 @@ class Items:
             run, item, place = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(run, kind="stable")
             self.by_run[q] = run[order], item[order], place[order]
-        width = int(self.size.max()) if len(self.size) else 0
-        self.padded = np.zeros((len(self.codes), width), np.uint64)
-        for i, code in enumerate(self.codes):
-            self.padded[i, : len(code)] = code
-        self.walks = 1
-        self.keys = self.embed(self.padded, np.arange(len(self.codes)), MOST_WALKS, pad=1)
+        self.flat = np.concatenate([*self.codes, np.zeros(0, np.uint64)]).astype(np.uint64)
+        self.offset = np.r_[0, np.cumsum(self.size)][:-1]
+        own = np.arange(len(self.codes))
+        ends = self.offset + self.size
+        self.keys = self.embed(self.flat, self.offset, self.offset, ends, own, MOST_WALKS, pad=1)
         self.walks = self._needed()
-        self.keys = self.keys[:, : self.walks * SAMPLINGS]
-
-    def embed(self, windows: np.ndarray, item: np.ndarray, walks: int | None = None, pad: int = 0) -> np.ndarray:
-        """[windows, walks * SAMPLINGS] keys of windows, each cut to its item's size. Items and windows have
-        different padding, so the ends of two walks are no agreement."""
-        walks = walks or self.walks
-        n, count = self.size[item], len(windows)
-        keys = np.zeros((count, walks, SAMPLINGS), np.uint64)
-        if not count or not windows.shape[1]:
-            return keys.reshape(count, walks * SAMPLINGS)
-        rows = np.arange(count)
+        self.keys = self.keys[:, : (self.walks or 0) * SAMPLINGS]
+
+    def embed(self, code: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, walks: int, pad: int = 0) -> np.ndarray:
+        """[windows, walks * SAMPLINGS] keys of windows of ``code``, each from its start over its item's size.
+
+        Places outside a window's row (``low`` to ``high``) count as one word. Items and windows have
+        different padding, so the ends of two walks are no agreement. Windows are taken by size, as many
+        at a time as fit ``CELLS`` places, so a very long one stands alone.
+        """
+        keys = np.zeros((len(start), walks, SAMPLINGS), np.uint64)
+        order = np.argsort(self.size[item], kind="stable")
+        order = order[self.size[item[order]] > 0]
+        done = 0
+        while done < len(order):
+            sizes = self.size[item[order[done:]]]
+            fits = np.arange(1, len(sizes) + 1) * sizes * (3 * walks) <= CELLS
+            taken = order[done : done + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))]
+            done += len(taken)
+            keys[taken] = self._walk(code, start[taken], low[taken], high[taken], self.size[item[taken]], walks, pad)
+        return keys.reshape(len(start), walks * SAMPLINGS)
+
+    def _walk(self, code: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, walks: int, pad: int) -> np.ndarray:
+        """All walks of some windows side by side: [windows, walks, SAMPLINGS] keys."""
+        turn = np.arange(walks)
+        at = np.zeros((len(start), walks), np.int64)
+        copied = np.zeros((3 * int(n.max()), len(start), walks), np.uint64)
+        start, low, high, size = start[:, None], low[:, None], high[:, None], n[:, None]
+        for step in range(len(copied)):
+            inside, place = at < size, start + at
+            known = inside & (place >= low) & (place < high)
+            symbol = np.where(known, code[np.clip(place, 0, max(0, len(code) - 1))], np.where(inside, np.uint64(0), np.uint64(pad)))
+            copied[step] = symbol
+            coin = (symbol ^ (symbol >> np.uint64(29))) * ((step + 1009 * turn + 1).astype(np.uint64) * np.uint64(0xEB44ACCAB455D165))
+            at += inside & (coin >> np.uint64(63)).astype(bool)
+        keys = np.zeros((len(at), walks, SAMPLINGS), np.uint64)
+        rows = np.arange(len(at))[:, None]
         for walk in range(walks):
             # For each size, walk and sampling: which of the 3n places are sampled.
-            at = np.zeros(count, np.int64)
             pick = mix64(np.arange(SAMPLINGS * self.bits, dtype=np.uint64) + seed(walk, 0x1D8E4E27C47D124F)).reshape(SAMPLINGS, self.bits)
-            wanted = (pick[None] % (3 * np.maximum(n, 1).astype(np.uint64))[:, None, None]).astype(np.int64)
-            copied = np.zeros((count, 3 * max(1, int(n.max()))), np.uint64)
-            for step in range(copied.shape[1]):
-                inside = at < n
-                symbol = np.where(inside, windows[rows, np.minimum(at, windows.shape[1] - 1)], np.uint64(pad))
-                copied[:, step] = symbol
-                coin = (symbol ^ (symbol >> np.uint64(29))) * seed(step + 1009 * walk, 0xEB44ACCAB455D165 | 1)
-                at += inside & (coin >> np.uint64(63)).astype(bool)
+            wanted = (pick[None] % (3 * n.astype(np.uint64))[:, None, None]).astype(np.int64)
             for b in range(self.bits):
                 place = wanted[:, :, b]
-                keys[:, walk] += mix64(copied[rows[:, None], place] + seed(b, 0x589965CC75374CC3) + place.astype(np.uint64))
-        return keys.reshape(count, walks * SAMPLINGS)
+                keys[:, walk] += mix64(copied[place, rows, walk] + seed(b, 0x589965CC75374CC3) + place.astype(np.uint64))
+        return keys
 
-    def _needed(self) -> int:
-        """Walks with which ``recall`` of items with the most edits allowed share a key."""
+    def _needed(self) -> int | None:
+        """Walks with which ``recall`` of items with the most edits allowed share a key; None if ``MOST_WALKS`` do not
+        reach it, and every window is verified."""
         random = np.random.default_rng(5)
         full = np.flatnonzero(self.size)
         if not len(full):
             return 1
         item = np.resize(random.permutation(full), 400)
-        windows = np.zeros((len(item), self.padded.shape[1]), np.uint64)
-        for r, i in enumerate(item):
+        cells = np.cumsum(self.size[item]) * (3 * MOST_WALKS)
+        item = item[: max(40, int((cells <= SIMULATED_CELLS).sum()))]
+        windows = []
+        for i in item:
             words, n = self.codes[i].tolist(), int(self.size[i])
             for _ in range(int(self.edits[i])):
                 kind, p = random.integers(3), int(random.integers(max(1, len(words))))
                 new = int(random.integers(1, 1 << 62))
                 words[p : p + int(kind > 0)] = [new] * int(kind < 2)
-            words = (words + [int(x) for x in random.integers(1, 1 << 62, n)])[:n]
-            windows[r, :n] = words
-        same = (self.embed(windows, item, MOST_WALKS) == self.keys[item]).reshape(len(item), MOST_WALKS, SAMPLINGS).any(axis=2)
+            windows.append(np.array((words + [int(x) for x in random.integers(1, 1 << 62, n)])[:n], np.uint64))
+        at = np.r_[0, np.cumsum(self.size[item])]
+        keys = self.embed(np.concatenate(windows), at[:-1], at[:-1], at[1:], item, MOST_WALKS)
+        same = (keys == self.keys[item]).reshape(len(item), MOST_WALKS, SAMPLINGS).any(axis=2)
         found = np.maximum.accumulate(same, axis=1).mean(axis=0)
-        return int(np.argmax(found >= self.recall)) + 1 if (found >= self.recall).any() else MOST_WALKS
+        return int(np.argmax(found >= self.recall)) + 1 if (found >= self.recall).any() else None
 
     def marks(self) -> dict[int, np.ndarray]:
         """By run length, a table of the top 16 bits that the items' runs have."""
@@ -178,10 +201,9 @@ class Items:
         for a in range(0, len(start), 4096):
             s, r, i = start[a : a + 4096], both[a : a + 4096] // len(self.ids), both[a : a + 4096] % len(self.ids)
             lo, hi = first[r], first[r + 1]
-            at = s[:, None] + np.arange(self.padded.shape[1])
-            inside = (at >= lo[:, None]) & (at < hi[:, None]) & (np.arange(self.padded.shape[1]) < self.size[i][:, None])
-            windows = np.where(inside, code[np.clip(at, 0, len(code) - 1)], np.uint64(0))
-            passed = np.flatnonzero((self.embed(windows, i) == self.keys[i]).any(axis=1))
+            passed = np.arange(len(s))
+            if self.walks:
+                passed = np.flatnonzero((self.embed(code, s, lo, hi, i, self.walks) == self.keys[i]).any(axis=1))
             for x in passed:
                 n, k = int(self.size[i[x]]), int(self.edits[i[x]])
                 p, e = max(int(lo[x]), int(s[x]) - k), min(int(hi[x]), int(s[x]) + n + k)

@@ -77,10 +77,11 @@ def test_clean_rows_stay_with_all_columns(planted):
 def test_embedding_passes_equal_windows_and_few_others():
     rng = np.random.default_rng(2)
     items = D.Items(list(range(30)), [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in rng.integers(8, 60, 30)])
-    own = items.embed(items.padded, np.arange(30))
+    every, ends = np.arange(30), items.offset + items.size
+    own = items.embed(items.flat, items.offset, items.offset, ends, every, items.walks)
     assert (own == items.keys).any(axis=1).all()
-    other = rng.integers(1, 1 << 62, items.padded.shape).astype(np.uint64)
-    assert (items.embed(other, np.arange(30)) == items.keys).any(axis=1).mean() < 0.1
+    other = rng.integers(1, 1 << 62, items.flat.shape).astype(np.uint64)
+    assert (items.embed(other, items.offset, items.offset, ends, every, items.walks) == items.keys).any(axis=1).mean() < 0.1
 
 
 @pytest.mark.parametrize("n", range(1, 80))
@@ -232,3 +233,29 @@ def test_word_codes_are_the_words():
     texts = ["a b", "", "b a", "a"]
     row, code = D.word_codes(pa.array(texts), codes)
     assert row.tolist() == [0, 0, 2, 2, 3] and code[0] == code[3] == code[4] and code[1] == code[2] != code[0]
+
+
+def test_a_very_long_item_among_short_ones():
+    random = np.random.default_rng(3)
+    codes = [random.integers(1, 1 << 62, 20_000).astype(np.uint64)] + [random.integers(1, 1 << 62, 12).astype(np.uint64) for _ in range(1000)]
+    items = D.Items(list(range(1001)), codes)
+    text = np.concatenate([codes[7], random.integers(1, 1 << 62, 50).astype(np.uint64), codes[900]])
+    text[3] = 5
+    found = items.hits(np.zeros(len(text), np.int64), text, items.marks())
+    assert [(h[1], h[2]) for h in found] == [(7, 1), (900, 0)] and len(items.flat) == 20_000 + 12_000
+
+
+def test_all_windows_are_verified_where_walks_do_not_reach_the_recall():
+    random = np.random.default_rng(4)
+    codes = [random.integers(1, 1 << 62, 30).astype(np.uint64) for _ in range(50)]
+    items = D.Items(list(range(50)), codes, bits=40)
+    assert items.walks is None
+    changed = []
+    for c in codes:
+        c = c.copy()
+        c[random.choice(30, 6, replace=False)] = random.integers(1, 1 << 62, 6).astype(np.uint64)
+        changed.append(c)
+    row = np.repeat(np.arange(50), 30)
+    found = {(h[0], h[1]) for h in items.hits(row, np.concatenate(changed), items.marks())}
+    windows = {(r, i) for s, both in zip(*items.windows(row, np.concatenate(changed), items.marks())) for r, i in [divmod(int(both), 50)]}
+    assert found == {x for x in windows if x[0] == x[1]} and len(found) > 40
