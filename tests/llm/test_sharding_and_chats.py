@@ -108,6 +108,22 @@ def test_long_conversations_come_in_parts(spark):
     assert render_chats(df.limit(0)).collect() == []
 
 
+def test_many_turns_of_one_number_or_none(spark):
+    """Rows without turn, id or both, of one turn number and with long roles, come in parts; equal conversations leave one."""
+    random.seed(5)
+    rows = [(None, None, "user", f"n{i}") for i in range(300)] + [(1, 7, "user", f"s{i}") for i in range(200)] + [(2, 7, "user", f"s{i}") for i in range(200)]
+    rows += [(c, t, "user", f"same {t}") for c in range(10, 40) for t in range(c % 3 + 1)]
+    rows += [(50, 1, "r" * n + x, f"{'p' * 70}{y}") for n in (63, 64, 70) for x in ("", "a", "b") for y in "zyx"] + [(51, None, None, None), (51, 1, None, "")]
+    random.shuffle(rows)
+    out = render_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parts = defaultdict(dict)
+    for r in out:
+        parts[r.conv_id][r.first_turn] = r.rendered
+    assert {c: "".join(p[k] for k in sorted(p)) for c, p in parts.items()} == brute_chats(rows)
+    assert all(sorted(p) == list(range(1, 64 * len(p), 64)) for p in parts.values())
+    assert max(r.rendered.count("<|end|>") for r in out) == 64
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_chats_match_sql(spark, size):
     path = f"/root/testdata/{size}/conversations.parquet"
