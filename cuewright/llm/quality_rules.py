@@ -34,6 +34,9 @@ RULES = {
     "lines": (50, 100, 200, 300, 500),  # repeated lines per 1000 lines with words
 }
 
+#: The cutoffs of so many strata are broadcast; of more, they are joined, with a stratum's rows in so many parts.
+FEW_STRATA, SALTS = 10_000, 32
+
 
 def base_features(docs: DataFrame, id_col: str, text_col: str, extra: list[Column]) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, capitals, lines, *extra)."""
@@ -87,15 +90,14 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, 1.0).when(k < first, 0.0).otherwise(F.least(total, F.lit(1.0)))
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(stratum, one nullable cutoff per rule). ``features`` has id, stratum and the rates; ``labels`` has id and quality."""
+def cutoffs(features: DataFrame, labels: DataFrame, strata: int, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """(stratum, one nullable cutoff per rule). ``features`` has id, stratum (of ``strata`` values) and the rates; ``labels`` has id and quality."""
     good = labels.where("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality")).where("quality = 1").select("id")
     counts = [F.count("*").alias("n")]
     for rule, grid in RULES.items():
         column = "lines_rate" if rule == "lines" else rule
         counts += [F.count_if(F.col(column) >= c).alias(f"{rule}_{c}") for c in grid]
     per = features.where("n_words >= 10").join(good, "id").groupBy("stratum").agg(*counts)
-    strata = features.select("stratum").distinct().count()
     grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, g in RULES.items() for c in g))
     tested = per.select("stratum", "n", F.explode(grid).alias("g"))
     passes = binomial_tail(F.col("g.k"), F.col("n"), risk) <= delta / (max(1, strata) * len(RULES))
@@ -111,7 +113,13 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum")
     found = _rates(written(base_features(docs, id_col, text_col, [stratum]), "features"))
     labels = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"))
-    out = found.join(cutoffs(found, labels, risk, delta), "stratum", "left")
+    strata = found.select("stratum").distinct().count()
+    chosen = cutoffs(found, labels, strata, risk, delta)
+    if strata <= FEW_STRATA:
+        out = found.join(F.broadcast(chosen), "stratum", "left")
+    else:  # a hot stratum's rows go to SALTS tasks
+        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["stratum", "salt"], "left").drop("salt")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     column = {r: "lines_rate" if r == "lines" else r for r in RULES}
     reasons = F.array_compact(F.array(F.when(failed, "base"), *(F.when(F.col(column[r]) >= F.col(f"cut_{r}"), r) for r in RULES)))
