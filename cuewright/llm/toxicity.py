@@ -1,7 +1,7 @@
 """Toxicity scores: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of byte n-grams (3 to 5) of the ASCII-lower-cased whole text, hashed to
-2**18 places. On the training rows each feature has its log-count ratio between toxic and other
+Features are the presence of character n-grams (3 to 5 code points) of the ASCII-lower-cased whole
+text, hashed to 2**18 places. On the training rows each feature has its log-count ratio between toxic and other
 documents; features whose chi-square passes a Bonferroni-corrected level are kept, their values are
 the ratios, and logistic regression with an L2 penalty on them gives the score. Scoring is one pass
 with a table lookup per n-gram.
@@ -36,9 +36,22 @@ TRAIN_SLICE = 256 << 10
 LEAST_CHI = 29.4
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points (uint32) and row offsets in them, of UTF-8 bytes and row offsets in those."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(np.uint32)
+    if len(at) == len(data):
+        return code, offsets
+    size = 1 + (code >= 0xC0) + (code >= 0xE0) + (code >= 0xF0)
+    code = np.where(size == 1, code, code & (np.uint32(0x7F) >> size.astype(np.uint32)))
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        code[more] = (code[more] << np.uint32(6)) | (data[at[more] + k] & np.uint8(0x3F))
+    return code, np.searchsorted(at, offsets)
+
+
 def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """n and the hashed place of the n-gram at each byte."""
-    data = data.astype(np.uint32)
+    """n and the hashed place of the n-gram at each character."""
     whole = np.zeros(len(data), np.uint32)
     for j in range(max(ORDERS)):
         n = j + 1
@@ -52,7 +65,8 @@ def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _hits(data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs; features are places, or what ``table`` has for them (-1: none)."""
     rows, features = [], []
-    for n, place in _grams(ascii_lower(data)):
+    codes, offsets = characters(ascii_lower(data), offsets)
+    for n, place in _grams(codes):
         if table is None:
             at, feature = np.arange(len(place)), place
         else:

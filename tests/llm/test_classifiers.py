@@ -4,10 +4,13 @@ from fractions import Fraction
 from zlib import crc32
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cuewright.llm import language_id, quality_rules, toxicity
+from cuewright.llm.common import text_buffer
 from cuewright.llm.queries import QUERIES
 
 SIZE = "/root/testdata/sf0.01"
@@ -57,6 +60,28 @@ def test_toxicity_of_odd_rows(spark, odd_docs):
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.score < 0.3 for r in rows)
 
 
+def place_of(gram):
+    """The documented hash of one n-gram, in plain integers."""
+    whole = 0
+    for c in gram:
+        whole = (whole * 0x01000193 + (ord(c) + 1) * 0x9E3779B1) % 2**32
+    return ((whole ^ whole >> 15) * (0x85EBCA6B + 2 * len(gram)) % 2**32) >> 14
+
+
+def test_toxicity_features_and_scores_equal_brute_force():
+    texts = ["Été à la plage", "", "漢字🙂かな漢字🙂かな", "ab", "abc", "Plain Text, plain text", "é", "🙂🙂🙂", "x" * 50 + "ß"]
+    data, offsets = text_buffer(pa.array([*texts, None]))
+    low = [t.translate({c: c + 32 for c in range(65, 91)}) for t in texts] + [""]
+    grams = [{place_of(t[i : i + n]) for n in (3, 4, 5) for i in range(len(t) - n + 1)} for t in low]
+    row, place = toxicity._hits(data, offsets, None)
+    assert list(zip(row.tolist(), place.tolist())) == sorted((i, g) for i, own in enumerate(grams) for g in own)
+    known = sorted(set().union(*grams))[::2]
+    model = toxicity.ToxicityModel(np.array(known), np.linspace(-1, 1, len(known)), -0.5)
+    weight = dict(zip(known, model.weights))
+    exact = [1 / (1 + math.exp(0.5 - sum(weight.get(g, 0.0) for g in own))) for own in grams]
+    assert model.score(data, offsets, model.table()).tolist() == pytest.approx(exact)
+
+
 def base_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
@@ -87,8 +112,10 @@ def test_binomial_tail_is_exact(spark):
         assert r.p == (1.0 if r.k >= r.n * 0.01 else pytest.approx(exact, rel=1e-9))
 
 
-def test_cutoffs_hold_false_rejections_down(spark):
+@pytest.mark.parametrize("few", [quality_rules.FEW_STRATA, 0])
+def test_cutoffs_hold_false_rejections_down(spark, monkeypatch, few):
     """Good documents of stratum a have few symbols and bad ones many; stratum b has too few labels to reject anything."""
+    monkeypatch.setattr(quality_rules, "FEW_STRATA", few)  # both ways to join the cutoffs
     rows = [(i, "a" if i < 4000 else "b", " ".join(f"w{i}x{j}{'####' if i % 2 else ''}" for j in range(14))) for i in range(4040)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
