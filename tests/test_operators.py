@@ -1,6 +1,7 @@
 """Hand-made cases and plain counterparts of the operators."""
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -250,6 +251,33 @@ def test_windows_stay_in_budget():
     assert {50 // 5, 120 // 5, 200 // 5, 300 // 5, 420 // 5} <= {k for a, b in spans for k in range(a, b)}
 
 
+def test_requests(spark):
+    """Numbered lines, context, marks, the reply's schema, and the last request of a film."""
+    said = [f"Line {i} has (word)." for i in range(40)]
+    rows = [(f, 4 * i + j, 1000 * i + 200 * j, 1000 * i + 200 * j + 100, x, f == 0 and (i, j) in ((5, 3), (6, 0), (35, 2))) for f in (0, 1) for i, t in enumerate(said) for j, x in enumerate(t.split())]
+    words = spark.createDataFrame(rows, "film int, idx int, start_ms long, end_ms long, text string, flagged boolean")
+    media = spark.createDataFrame([(0, "Show", 1999, 2, 3, "Pilot", ["Ann Lee"] * 100, ["Oslo"])], "film int, title string, year int, season int, episode int, episode_title string, names array<string>, terms array<string>")
+    windows = correct.plan_windows(words)
+    found = [json.loads(r.body) for r in correct.requests(windows, words, "m", media).orderBy("film", "window").collect()]
+    assert len(found) == windows.count() == 2
+    first, last = found
+    prompt = first["messages"][1]["content"].split("\n")
+    assert prompt[0] == 'Title: Show (1999), S02E03 "Pilot"' and prompt[2:4] == ["Terms: Oslo", ""]
+    assert len(prompt[1]) <= 7 + 700 and set(prompt[1][7:].split(", ")) == {"Ann Lee"}
+    body = prompt[5:-2]
+    numbered = [x for x in body if not x.startswith("  (")]
+    assert [int(x[:3]) for x in numbered] == list(range(1, len(numbered) + 1)) and len(numbered) >= 12
+    assert any(x.endswith("Line 5 has ([1:word]).") for x in body) and any("[2:Line] 6 has (word)." in x for x in body)
+    assert all("[" not in x for x in body if x.startswith("  (")) and body[-1].startswith("  (after) Line ") and body[-2].startswith("  (after) Line ")
+    assert first["format"]["properties"]["edits"]["maxItems"] == 2 == first["format"]["properties"]["edits"]["items"]["properties"]["i"]["maximum"]
+    assert first["options"] == {"temperature": 0, "num_predict": 82} and last["options"]["num_predict"] == 57
+    assert "keep_alive" not in first and last["keep_alive"] == 0 and first["stream"] is False is first["think"]
+    assert last["messages"][1]["content"].split("\n")[5].startswith("  (before) Line ")
+    own = spark.createDataFrame([(0, 0, 0, 1, " Har", True), (0, 1, 1, 2, "ry", False), (0, 2, 2, 3, " ran", False)], words.schema)
+    bare = json.loads(correct.requests(correct.plan_windows(own), own, "m").first().body)["messages"][1]["content"]
+    assert "\n  1  [1:Har]ry ran\n" in bare or "\n  1 [1:Har]ry ran\n" in bare
+
+
 def test_word_errors_and_offsets(spark):
     one = "one two three four five six seven eight nine ten"
     stream = lambda t: spark.createDataFrame([(0, i, w) for i, w in enumerate(t.split())], "film int, tok_idx int, word string")
