@@ -285,7 +285,28 @@ def low_conf_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.flag_words(V.words(spark, sf_dir)).where("flag_prob").select("film", "idx")
 
 
-@query()
+_FIXED = ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in R.ALWAYS_CAPITAL)
+_SHORT = ", ".join(f"'{w}'" for w in R.ABBREVIATIONS_IN_LINES)
+_KNOWN = "learned AS (SELECT film, key FROM keyed WHERE regexp_matches(core, '^\\p{Lu}') AND key <> '' GROUP BY film, key HAVING count(*) >= 2 AND sum(prob_pct) >= 90 * count(*))"
+_FLAGS = rf"""
+WITH cored AS (SELECT *, regexp_extract(text, '(?s)^(\s*["''“‘(\[¿¡«-]*)(.*?)([.,!?;:…"''”’)\]»-]*)$', 2) AS core, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS letters FROM words
+), keyed AS (SELECT *, regexp_replace(lower(core), '[^a-z0-9]', '', 'g') AS key FROM cored
+), behind AS (
+  SELECT *, lag(key) OVER s AS k1, lag(key, 2) OVER s AS k2, lead(key) OVER s AS n1, lead(key, 2) OVER s AS n2,
+    coalesce(trim(lag(text) OVER s) <> '' AND NOT (regexp_matches(lag(text) OVER s, '[.!?…][''"”’)\]]*$') AND lag(letters) OVER s NOT IN ({_SHORT})), false) AS inside
+  FROM keyed WINDOW s AS (PARTITION BY film ORDER BY idx)
+), {_KNOWN}, flags AS (
+  SELECT b.film, b.idx, b.key, b.core, b.key <> '' AND prob_pct < 60 AS flag_prob,
+    b.inside AND regexp_matches(b.core, '^\p{{Lu}}') AND length(b.key) > 1 AND regexp_matches(b.core, '\p{{Ll}}') AND b.key NOT IN ({_FIXED}) AND lower(b.core) NOT IN ({_FIXED}) AS capital,
+    coalesce(b.key <> '' AND ((b.key = k1 AND b.key = k2) OR (b.key = k1 AND b.key = n1) OR (b.key = n1 AND b.key = n2)), false) AS flag_loop
+  FROM behind b
+)"""
+
+
+@query(
+    f"""{_FLAGS}, named AS (SELECT f.*, capital AND l.key IS NULL AS flag_name FROM flags f LEFT JOIN learned l ON f.film = l.film AND f.key = l.key)
+    SELECT film, idx, flag_prob, flag_name, flag_loop, flag_prob OR flag_name OR flag_loop AS flagged FROM named""", "words",
+)
 def flag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.flag_words(V.words(spark, sf_dir)).select("film", "idx", "flag_prob", "flag_name", "flag_loop", "flagged")
 
@@ -642,12 +663,16 @@ def path_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.parse_paths(V.files(spark, sf_dir).select("path").distinct()).select("path", "year")
 
 
-@query("SELECT user_id AS film, count(*) AS n FROM events WHERE value >= 1 GROUP BY user_id")
+@query(
+    f"""{_FLAGS}, given AS (SELECT DISTINCT film, key FROM keyed WHERE seg % 2 = 0 AND regexp_matches(core, '^\\p{{Lu}}') AND length(key) > 1
+    ), names AS (SELECT * FROM learned UNION SELECT * FROM given)
+    SELECT f.film, f.idx FROM flags f LEFT JOIN names k ON f.film = k.film AND f.key = k.key WHERE capital AND k.key IS NULL""", "words",
+)
 def names_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of users less the small ones, by an anti-join on the event."""
-    events = V.table(spark, sf_dir, "events")
-    small = events.where("value < 1").select("event_id")
-    return events.join(small, "event_id", "left_anti").groupBy(F.col("user_id").alias("film")).agg(F.count("*").alias("n"))
+    """Capitalised words within sentences that are no name: neither learned, nor a word of every second turn taken as the film's known names."""
+    words = V.words(spark, sf_dir)
+    given = words.where("seg % 2 = 0").select("film", T.edge_part(F.col("text"), "core").alias("name"))
+    return correct.flag_words(words, given).where("flag_name").select("film", "idx")
 
 
 # --- streams -----------------------------------------------------------------------------------
