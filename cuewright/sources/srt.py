@@ -14,9 +14,12 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 
 from cuewright.functions.timecode import format_ms, parse_ms
 
+CLOCK = r"(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})"
+TAGS = r"<[^>]+>|\{\\[^}]*\}"
 TIMES = r"\d+:\d{1,2}:\d{1,2}[,.]\d{1,3}\s*-->\s*\d+:\d{1,2}:\d{1,2}[,.]\d{1,3}"
 
 
@@ -34,7 +37,7 @@ def parse_srt(files: DataFrame, strip_tags: bool = True) -> DataFrame:
     clock = F.element_at("lines", F.col("at"))
     text = F.array_join(F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n")
     if strip_tags:
-        text = F.regexp_replace(text, r"<[^>]+>|\{\\[^}]*\}", "")
+        text = F.regexp_replace(text, TAGS, "")
     text = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     sides = F.split(clock, "-->")
     cues = found.select("film", "block", parse_ms(F.get(sides, F.lit(0))).alias("start_ms"), parse_ms(F.get(sides, F.lit(1))).alias("end_ms"), text.alias("text")).where("text <> ''")
@@ -51,19 +54,19 @@ def render_srt(cues: DataFrame) -> DataFrame:
     return listed.select("film", F.array_join(numbered, "\n").alias("body"))
 
 
-@pandas_udf(StringType())
-def decode_bytes(content: pd.Series) -> pd.Series:
+def decoded(raw: bytes) -> str:
     """Text of a subtitle file: UTF-8 with or without a mark, else Windows-1252, else Latin-1."""
+    for name in ("utf-8-sig", "cp1252"):
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode("latin-1")
 
-    def one(raw: bytes) -> str:
-        for name in ("utf-8-sig", "cp1252"):
-            try:
-                return raw.decode(name)
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("latin-1")
 
-    return content.map(one, na_action="ignore")
+@pandas_udf(StringType())
+def decode_bytes(content: pd.Series) -> pd.Series:
+    return content.map(decoded, na_action="ignore")
 
 
 def load_srt(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +76,11 @@ def load_srt(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SrtSource(DataSource):
-    """``spark.read.format("srt").load(folder)``: one partition per file."""
+    """``spark.read.format("srt").load(folder)``: one partition per file, from any file system that Arrow opens
+    by its URI (``file``, ``hdfs``, ``s3``, ``gs``) or a path that driver and executors share.
+
+    Files are decoded and parsed as by ``load_srt``, without a Spark plan of their own.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -86,34 +93,34 @@ class SrtSource(DataSource):
         return SrtReader(self.options["path"])
 
 
+def _opened(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if "://" in path else Path(path.removeprefix("file:")).absolute().as_uri())
+
+
 class SrtReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        top = Path(self.path)
-        return [InputPartition(str(p)) for p in ([top] if top.is_file() else sorted(top.rglob("*.srt")))]
+        files, top = _opened(self.path)
+        if files.get_file_info(top).type == FileType.File:
+            return [InputPartition(top)]
+        found = files.get_file_info(FileSelector(top, recursive=True))
+        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == FileType.File and f.extension == "srt"]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        raw = Path(partition.value).read_bytes()
-        try:
-            body = raw.decode("utf-8-sig")
-        except UnicodeDecodeError:
-            body = raw.decode("cp1252", "replace")
-        clock = re.compile(r"(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})")
+        with _opened(self.path)[0].open_input_stream(partition.value) as f:
+            body = decoded(f.read())
         cues = []
-        for block in re.split(r"\n[ \t]*\n", body.replace("\r\n", "\n").replace("\r", "\n")):
-            lines = block.split("\n")
-            at = next((i for i, x in enumerate(lines) if re.search(TIMES, x)), None)
-            if at is None:
-                continue
-            times = [(int(h) * 3600 + int(m) * 60 + int(s)) * 1000 + int(f.ljust(3, "0")) for h, m, s, f in clock.findall(lines[at])]
-            text = re.sub(r"<[^>]+>|\{\\[^}]*\}", "", "\n".join(lines[at + 1 :]))
-            text = "\n".join(x.strip() for x in text.split("\n") if x.strip())
+        for block in re.split(r"\n[ \t]*\n", re.sub("\r\n?", "\n", body)):
+            lines = iter(block.split("\n"))
+            clock = next((x for x in lines if re.search(TIMES, x)), None)
+            text = "\n".join(x for x in (re.sub(TAGS, "", x).strip(" ") for x in lines) if x) if clock else ""
             if text:
-                cues.append((times[0], times[1], text))
-        for i, (start, end, text) in enumerate(sorted(cues, key=lambda c: c[0])):
-            yield partition.value, i, start, end, text
+                begin, end = (int(h) * 3_600_000 + int(m) * 60_000 + int(s) * 1000 + int(f.ljust(3, "0")) for h, m, s, f in re.findall(CLOCK, clock)[:2])
+                cues.append((begin, end, text))
+        cues.sort(key=lambda c: c[0])
+        yield from ((partition.value, i, *c) for i, c in enumerate(cues))
 
 
 def place_output(part: str, target: str, may_replace: bool) -> bool:

@@ -41,20 +41,37 @@ def with_open_sessions(closed: DataFrame, events: DataFrame, gap: str = "30 minu
 
 def queue(jobs: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each (path, source) once within the watermark."""
-    return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path"])
+    return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path", "source"])
 
 
-def forced_queue(jobs: DataFrame) -> DataFrame:
-    """(path, force): a job when its path is first seen, and once more when a later request forces it."""
+def forced_queue(jobs: DataFrame, keep: str | None = None, late: str = "1 hour") -> DataFrame:
+    """(path, force): a job when its path is first seen, and once more when a later request forces it.
+
+    With ``keep`` requests have a time ``ts``, and a path that nobody asks for during ``keep`` is forgotten once the watermark
+    (``late``) is past that, so that the state is bounded; when it comes back it is a new one. Requests behind the watermark
+    are dropped. Without ``keep`` paths are remembered for ever.
+    """
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, forced = state.get if state.exists else (False, False)
-        asked = any(bool(p["force"].any()) for p in parts)
+        asked, latest = False, 0 if keep_ms is None else state.getCurrentWatermarkMs()
+        for p in parts:
+            asked |= bool(p["force"].any())
+            if keep_ms is not None and p["ts"].notna().any():
+                latest = max(latest, int(p["ts"].max().timestamp() * 1000))
         if not seen or (asked and not forced):
             yield pd.DataFrame({"path": [key[0]], "force": [asked]})
         state.update((True, forced or asked))
+        if keep_ms is not None:
+            state.setTimeoutTimestamp(latest + keep_ms)
 
-    return jobs.groupBy("path").applyInPandasWithState(run, "path string, force boolean", "seen boolean, forced boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.EventTimeTimeout
+    timed = jobs if keep is None else jobs.withWatermark("ts", late)
+    return timed.groupBy("path").applyInPandasWithState(run, "path string, force boolean", "seen boolean, forced boolean", "append", timeout)
 
 
 def allowed_now(jobs: DataFrame, minute: int, start: str | None, end: str | None) -> DataFrame:

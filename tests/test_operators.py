@@ -80,6 +80,11 @@ def test_subtitles_round_trip(spark, tmp_path):
     spark.dataSource.register(srt.SrtSource)
     for df in (srt.load_srt(spark, str(tmp_path)), spark.read.format("srt").load(str(tmp_path))):
         assert sorted((r.cue_idx, r.start_ms, r.text) for r in df.collect()) == [(0, 1000, "déjà"), (0, 1250, "First"), (1, 5000, "Second\nline")]
+    odd = b"7\n0:0:1,5 --> 0:0:2.25 X1:2\n{\\an8}<b> caf\xe9 \x81</b>\n\n \n9\n00:00:03,000 --> 00:00:04,000\n<i></i>\n"
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c d.srt").write_bytes(odd)
+    read = lambda df: sorted(tuple(r)[1:] for r in df.collect())
+    assert read(spark.read.format("srt").load(str(tmp_path))) == read(srt.load_srt(spark, str(tmp_path))) and (0, 1500, 2250, "café \x81") in read(spark.read.format("srt").load(f"file://{tmp_path}"))
     part, target = tmp_path / "x.part", tmp_path / "x.srt"
     part.write_text("new")
     assert srt.place_output(str(part), str(target), False) and target.read_text() == "new"
@@ -351,6 +356,22 @@ def test_streams(spark, tmp_path):
     query = jobs.forced_queue(stream).writeStream.format("memory").queryName("forced").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("forced").collect())) == [("a", False), ("a", True), ("b", False)]
+    timed = stream.select("path", F.lit("scan").alias("source"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    both = timed.union(timed.withColumn("source", F.lit("hook")))
+    once = jobs.queue(both).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp4")).trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert sorted((r.path, r.source) for r in spark.table("once").collect()) == [("a", "hook"), ("a", "scan"), ("b", "hook"), ("b", "scan")]
+    (tmp_path / "timed").mkdir()
+    for i, (path, day) in enumerate([("a", 1), ("b", 1), ("a", 2), ("b", 9), ("c", 20), ("a", 20)]):
+        pd.DataFrame({"path": [path], "force": [False], "ts": [pd.Timestamp(2024, 1, day, tz="UTC")]}).to_parquet(tmp_path / "timed" / f"{i}.parquet", coerce_timestamps="us")
+    timed = spark.readStream.schema("path string, force boolean, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "timed"))
+    kept = jobs.forced_queue(timed, keep="10 days").writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp5")).trigger(availableNow=True).start()
+    assert kept.awaitTermination(120)
+    assert sorted(r.path for r in spark.table("kept").collect()) == ["a", "b", "c"]
+    brief = jobs.forced_queue(timed, keep="3 days").writeStream.format("memory").queryName("brief").option("checkpointLocation", str(tmp_path / "cp6")).trigger(availableNow=True).start()
+    assert brief.awaitTermination(120)
+    # When b comes back, the watermark is still behind the requests before it; when a does, it is past a's three days.
+    assert sorted(r.path for r in spark.table("brief").collect()) == ["a", "a", "b", "c"]
     done = jobs.run_jobs(stream, lambda d: d.withColumn("status", F.lit("done")), str(tmp_path / "ledger"), str(tmp_path / "cp2"))
     done.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == len(rows) and jobs.progress(done)["rows"] == len(rows)
